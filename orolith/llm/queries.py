@@ -10,12 +10,38 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import langid
+
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.train(documents)
+    return langid.identify(documents.select("doc_id", "text"), model).select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
+
+
+def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix
+
+    return mix(table(spark, sf_dir, "documents"))
+
+
+def op4_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sharding import byte_shards
+
+    return byte_shards(table(spark, sf_dir, "documents"), 40)
+
+
 def op6_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .tokenbin import token_digests
 
     return token_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .prefixcount import token_counts
+
+    return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op9_simhash_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import near_duplicates
 
@@ -24,7 +50,11 @@ def op9_simhash_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_language_id": op2_language_id,
+        "op3_source_mix": op3_source_mix,
+        "op4_byte_shards": op4_byte_shards,
         "op6_token_binary": op6_token_binary,
+        "op8_token_counts": op8_token_counts,
         "op9_simhash_vptree": op9_simhash_vptree,
     }
 
