@@ -10,6 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import scan
+
+    return scan(table(spark, sf_dir, "documents")).drop("detections")
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import langid
 
@@ -30,12 +36,25 @@ def op4_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_shards(table(spark, sf_dir, "documents"), 40)
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontam import contamination
+
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return contamination(documents, table(spark, sf_dir, "benchmark")).drop("text")
+
+
 def op6_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .tokenbin import token_digests
 
     return token_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op7_merkle_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .merkle import compare_with_next
+
+    return compare_with_next(table(spark, sf_dir, "documents"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .prefixcount import token_counts
 
@@ -50,10 +69,13 @@ def op9_simhash_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_license_scan": op1_license_scan,
         "op2_language_id": op2_language_id,
         "op3_source_mix": op3_source_mix,
         "op4_byte_shards": op4_byte_shards,
+        "op5_decontamination": op5_decontamination,
         "op6_token_binary": op6_token_binary,
+        "op7_merkle_fingerprint": op7_merkle_fingerprint,
         "op8_token_counts": op8_token_counts,
         "op9_simhash_vptree": op9_simhash_vptree,
     }
