@@ -67,6 +67,12 @@ def op9_simhash_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .htmltext import main_text
+
+    return main_text(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_license_scan": op1_license_scan,
@@ -78,6 +84,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_merkle_fingerprint": op7_merkle_fingerprint,
         "op8_token_counts": op8_token_counts,
         "op9_simhash_vptree": op9_simhash_vptree,
+        "op10_html_text": op10_html_text,
     }
 
 
