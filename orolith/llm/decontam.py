@@ -112,3 +112,10 @@ def contamination(documents: DataFrame, items: DataFrame, width: int = WIDTH) ->
     n_hit = F.coalesce("hit_words", F.lit(0)).cast("long")
     items_of = F.coalesce("hit_items", F.array().cast("array<string>"))
     return joined.select(*kept, "n_words", n_hit.alias("n_hit"), F.size(items_of).cast("long").alias("n_items"), F.sha2(F.array_join(items_of, ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+
+
+def clean(documents: DataFrame, items: DataFrame, width: int = WIDTH) -> DataFrame:
+    """The rows of documents without any window of the items."""
+    hits = stable(phrase_matches(documents, phrases(items, width)).select(F.col("doc_id").alias("hit_id"), F.col("tie").alias("hit_tie")).distinct())
+    here = F.col("doc_id").eqNullSafe(F.col("hit_id")) & (_tie(F.col("text")) == F.col("hit_tie"))
+    return documents.join(_sized(hits, hits.count()), here, "left_anti")

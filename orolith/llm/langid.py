@@ -180,3 +180,13 @@ def identify(documents: DataFrame, model: Model) -> DataFrame:
 
     added = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("coverage", T.DoubleType())]
     return documents.mapInArrow(run, T.StructType([*documents.schema.fields, *added]))
+
+
+#: A text is rejected without a letter, or if its language accounts for less than this share of its n-grams.
+LEAST_COVERAGE = 0.02
+
+
+def accepted(documents: DataFrame, model: Model) -> DataFrame:
+    """The rows of documents with an identified language."""
+    found = identify(documents, model)
+    return found.where((F.col("lang_pred") != UNDETERMINED) & (F.col("coverage") >= LEAST_COVERAGE)).select(*documents.columns)

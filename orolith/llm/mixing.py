@@ -94,3 +94,12 @@ def mix(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     joined = pieces.join(slots, ["src", "block"], "left")
     taken = F.sum(F.when(F.col("used"), F.col("part")).otherwise(F.lit(0))).cast("long")
     return joined.groupBy("src", "bucket", "nth", "doc_id", "size", "source_size", "target").agg(taken.alias("taken")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def mixed_documents(documents: DataFrame, **options) -> DataFrame:
+    """documents as the mix takes them: each row as often as its taken words are of its size, to the nearest whole
+    number; a document without words stays once. Rows that share a doc_id are repeated by their common share."""
+    shares = mix(documents, **options).groupBy("doc_id").agg(F.sum("size").alias("sizes"), F.sum("taken").alias("takes"))
+    copies = shares.select(F.col("doc_id").alias("mixed_id"), F.when(F.col("sizes") > 0, F.floor(F.col("takes") / F.col("sizes") + 0.5)).otherwise(F.lit(1)).alias("copies")).where("copies > 0")
+    joined = documents.join(copies, F.col("doc_id").eqNullSafe(F.col("mixed_id")))
+    return joined.withColumn("nth", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*documents.columns)

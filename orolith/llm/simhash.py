@@ -223,3 +223,12 @@ def near_duplicates(documents: DataFrame, shingle: int = 3, radius: int = RADIUS
     names = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     named = placed.join(names, "root").select("fp", "component_id")
     return own.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def deduplicate(documents: DataFrame, **options) -> DataFrame:
+    """One row of each component of near_duplicates: that of the smallest doc_id, null only if no row of it has an id.
+    Of rows that share that id one stays."""
+    found = near_duplicates(documents, **options)
+    kept = stable(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct())
+    joined = documents.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    return joined.dropDuplicates(["doc_id"])

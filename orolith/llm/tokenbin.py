@@ -28,50 +28,79 @@ from .common import scratch_path
 COUNTS = (60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1)
 WIDTHS = (1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60)
 ESCAPE = 15
+BARRIER = 14
 MAGIC = 0x4F524F38
 END_ID = 2
 
 
-def pack(ids: np.ndarray) -> np.ndarray:
-    """The Simple-8b words of ids (uint64): at each place the selector that takes most ids, ids of over 60 bits escaped."""
-    ids = np.ascontiguousarray(ids, dtype=np.uint64)
-    n = len(ids)
-    if not n:
-        return np.zeros(0, np.uint64)
-    widest = int(ids.max()).bit_length()
-    choice = np.full(n, ESCAPE, np.int8)
+def _bit_lengths(ids: np.ndarray) -> np.ndarray:
+    """Bits of each id, as uint8; of ids over 2 ** 53 perhaps one too many."""
+    if len(ids) and ids.max() < len(_LENGTHS):
+        return _LENGTHS[ids.astype(np.int64)]
+    return np.frexp(ids.astype(np.float64))[1].astype(np.uint8)
+
+
+_LENGTHS = np.frexp(np.arange(1 << 16, dtype=np.float64))[1].astype(np.uint8)
+
+
+def pack_documents(documents: list[np.ndarray]) -> list[np.ndarray]:
+    """The Simple-8b words (uint64) of each document's ids: at each place the selector that takes most ids, ids of over
+    60 bits escaped. Documents are packed together, with a barrier after each that no word crosses."""
+    counts = np.array([len(x) for x in documents], np.int64)
+    total = int(counts.sum()) + len(documents)
+    barrier = np.cumsum(counts + 1) - 1
+    ids = np.zeros(total, np.uint64)
+    real = np.ones(total, bool)
+    real[barrier] = False
+    if total > len(documents):
+        ids[real] = np.concatenate(documents)
+    bits = _bit_lengths(ids)
+    bits[barrier] = 255
+    most = bits.copy()  # of the next ids, as many as the selector takes
+    choice = np.full(total, ESCAPE, np.uint8)
+    seen = 1
     for selector in range(len(COUNTS) - 1, -1, -1):
-        count, width = COUNTS[selector], WIDTHS[selector]
-        if count > n:
+        count = COUNTS[selector]
+        if count > total:
             break
-        if width >= widest:
-            choice[: n - count + 1] = selector
-            continue
-        misfits = np.concatenate(([0], np.cumsum(ids >> np.uint64(width) != 0)))
-        fits = misfits[count:] == misfits[:-count]
+        while seen < count:
+            np.maximum(most[: total - seen], bits[seen:], out=most[: total - seen])
+            seen += 1
+        fits = most[: total - count + 1] <= WIDTHS[selector]
         if not fits.any():
             break
-        choice[: n - count + 1][fits] = selector
-    step = np.array(COUNTS + (0, 1), np.int64)[choice].tolist()
+        choice[: total - count + 1][fits] = selector
+    choice[barrier] = BARRIER
+    step = bytes(np.array(COUNTS + (1, 1), np.uint8)[choice])
     starts, at = [], 0
-    while at < n:
-        starts.append(at)
+    push = starts.append
+    while at < total:
+        push(at)
         at += step[at]
     starts = np.array(starts, np.int64)
     kinds = choice[starts]
-    places = np.arange(len(starts)) + np.concatenate(([0], np.cumsum(kinds == ESCAPE)[:-1]))
-    words = np.zeros(len(starts) + int((kinds == ESCAPE).sum()), np.uint64)
+    width = np.where(kinds == ESCAPE, 2, (kinds != BARRIER).astype(np.int64))
+    places = np.cumsum(width) - width
+    words = np.zeros(int(width.sum()), np.uint64)
     for selector in np.unique(kinds).tolist():
+        if selector == BARRIER:
+            continue
         here = kinds == selector
+        first, place = starts[here], places[here]
         if selector == ESCAPE:
-            words[places[here]] = np.uint64(ESCAPE << 60)
-            words[places[here] + 1] = ids[starts[here]]
+            words[place] = np.uint64(ESCAPE << 60)
+            words[place + 1] = ids[first]
             continue
-        word = np.full(int(here.sum()), selector << 60, np.uint64)
+        word = np.full(len(first), selector << 60, np.uint64)
         for k in range(COUNTS[selector]):
-            word |= ids[starts[here] + k] << np.uint64(k * WIDTHS[selector])
-        words[places[here]] = word
-    return words
+            word |= ids[first + k] << np.uint64(k * WIDTHS[selector])
+        words[place] = word
+    return np.split(words, places[kinds == BARRIER][:-1]) if documents else []
+
+
+def pack(ids: np.ndarray) -> np.ndarray:
+    """The Simple-8b words of one document's ids."""
+    return pack_documents([np.asarray(ids, np.uint64)])[0]
 
 
 def unpack(words: np.ndarray) -> np.ndarray:
@@ -122,6 +151,10 @@ def read_block(payload: bytes) -> tuple[np.ndarray, np.ndarray]:
     return ids, index[:, 1]
 
 
+#: White space other than the space, of any library; a text in which one stands before a space is looked at closely.
+SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 class Encoder:
     """Ids of texts by a byte-level BPE file of the tokenizers library, with what a space-separated piece gives remembered.
 
@@ -131,7 +164,7 @@ class Encoder:
     pieces, so it is bounded at any input size.
     """
 
-    def __init__(self, path: str, remember: int = 800_000):
+    def __init__(self, path: str, remember: int = 1_300_000):
         import os
         import re
 
@@ -139,8 +172,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
-        self.whole = re.compile("|".join([r"(?<=\s) (?=\s|\Z)", *map(re.escape, special)]))
+        self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
+        self.whole = re.compile("|".join([r"(?<=\s) (?=\s|\Z)", *map(re.escape, self.special)]))
         self.width = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.memory: dict[str, bytes] = {}
         self.remember = remember
@@ -149,17 +182,38 @@ class Encoder:
         return [np.array(x.ids, self.width).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        pieces = [None if self.whole.search(x) else x.split(" ") for x in texts]
+        joined = "\0".join(texts)
+        plain = not any(x in joined for x in ("  ", *(c + " " for c in SPACES if c in joined), *self.special))
+        del joined
         if len(self.memory) > self.remember:
             self.memory = {}
-        memory = self.memory
-        unknown = list({x for p in pieces if p for x in p[1:]}.difference(memory))
-        memory.update(zip(unknown, self.library([" " + x for x in unknown]), strict=True))
-        alone = [i for i, p in enumerate(pieces) if p is None]
-        whole = dict(zip(alone, self.library([texts[i] for i in alone]), strict=True))
-        heads = self.library([p[0] if p else "" for p in pieces])
-        get = memory.__getitem__
-        return [np.frombuffer(whole[i] if p is None else heads[i] + b"".join(map(get, p[1:])), self.width) for i, p in enumerate(pieces)]
+        get, out, late, unknown = self.memory.get, [b""] * len(texts), [], set()
+        whole = [] if plain else [i for i, x in enumerate(texts) if self.whole.search(x)]
+        aside = set(whole)
+        heads = []
+        for i, text in enumerate(texts):
+            if i in aside:
+                heads.append("")
+                continue
+            head, _, rest = text.partition(" ")
+            heads.append(head)
+            if len(head) == len(text):
+                continue
+            pieces = rest.split(" ")
+            parts = list(map(get, pieces))
+            if None in parts:
+                late.append((i, pieces))
+                unknown.update(x for x, y in zip(pieces, parts, strict=True) if y is None)
+            else:
+                out[i] = b"".join(parts)
+        learn = list(unknown)
+        self.memory.update(zip(learn, self.library([" " + x for x in learn]), strict=True))
+        own = self.memory.__getitem__
+        for i, pieces in late:
+            out[i] = b"".join(map(own, pieces))
+        for i, x in zip(whole, self.library([texts[i] for i in whole]), strict=True):
+            out[i] = x
+        return [np.frombuffer(x + y, self.width) for x, y in zip(self.library(heads), out, strict=True)]
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -185,7 +239,7 @@ def encode_documents(documents: DataFrame, tokenizer_path: str, end_id: int = EN
                 batch = whole.slice(at, 256)
                 texts = [x or "" for x in batch.column(1).to_pylist()]
                 ids = [np.append(x.astype(np.uint64), np.uint64(end_id)) for x in coder.encode(texts)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array([len(x) for x in ids], pa.int64()), pa.array([pack(x).tobytes() for x in ids], pa.binary())], names=PACKED.names)
+                yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in pack_documents(ids)], pa.binary())], names=PACKED.names)
 
     return documents.select("doc_id", "text").mapInArrow(run, PACKED)
 
