@@ -67,7 +67,7 @@ def phrase_matches(documents: DataFrame, found: DataFrame) -> DataFrame:
     start = F.col("pos") - F.col("offset")
     near = postings(documents, index, n, keep_words=True).where((start >= 0) & (start + F.size("phrase") <= F.size("words")))
     near = near.where(F.get("words", start + F.col("second_offset")) == F.col("second"))
-    exact = near.where(F.slice("words", start + 1, F.size("phrase")) == F.col("phrase"))
+    exact = near.where(F.slice("words", F.greatest(start + 1, F.lit(1)), F.size("phrase")) == F.col("phrase"))
     return exact.select("doc_id", "tie", start.alias("start"), (start + F.size("phrase")).alias("stop"), "items")
 
 
