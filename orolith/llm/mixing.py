@@ -33,7 +33,7 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float
     level = (F.col("amount") - full) / F.sum("weight").over(by_ratio.rowsBetween(0, W.unboundedFollowing))
     filled = ranked.withColumn("level", level).withColumn("capped", F.col("cap") / F.col("weight") <= F.col("level"))
     common = F.max(F.when(~F.col("capped"), F.col("level"))).over(W.partitionBy())
-    return filled.select("source", "src", "source_size", "n_rows", "weight", F.when(F.col("capped"), F.col("cap")).otherwise(F.col("weight") * common).alias("target"), "amount")
+    return filled.select("source", "src", "source_size", "n_rows", "weight", F.round(F.when(F.col("capped"), F.col("cap")).otherwise(F.col("weight") * common), 6).alias("target"), "amount")
 
 
 def schedule(spark: SparkSession, mixed: DataFrame, n_slots: int) -> DataFrame:
