@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .functions import costs
@@ -251,11 +250,10 @@ query("mean_iou", "SELECT round(avg(i / u), 6) AS mean_iou FROM (SELECT v, sum(C
 query("coverage", "SELECT region_id, CAST(100 AS DOUBLE) AS coverage, count(*) * 24 AS point_bytes FROM rebuilt GROUP BY region_id")(lambda c: fitting.coverage(_rebuilt(c)))
 
 # costs of eastward steps
-EAST = W.partitionBy("y").orderBy("x")
 
 
 def _east(c: DataFrame) -> DataFrame:
-    steps = c.select(F.col("x").alias("x1"), F.col("y").alias("y1"), F.col("elevation").alias("z1"), F.col("landcover").alias("lc1"), (F.col("x") + 1).alias("x2"), F.col("y").alias("y2"), F.lead("elevation").over(EAST).alias("z2"))
+    steps = c.select(F.col("x").alias("x1"), F.col("y").alias("y1"), F.col("elevation").alias("z1"), F.col("landcover").alias("lc1"), (F.col("x") + 1).alias("x2"), F.col("y").alias("y2"), F.lead("elevation").over(stencil.row()).alias("z2"))
     return steps.where("z2 IS NOT NULL")
 
 

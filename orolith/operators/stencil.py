@@ -8,14 +8,23 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.store import stable
 from ..sources.cells import extent
 
-ROW, COLUMN = W.partitionBy("y").orderBy("x"), W.partitionBy("x").orderBy("y")
+
+def row() -> WindowSpec:
+    """A raster row in order."""
+    return W.partitionBy("y").orderBy("x")
+
+
+def column() -> WindowSpec:
+    """A raster column in order."""
+    return W.partitionBy("x").orderBy("y")
+
 
 
 def padded(cells: DataFrame, radius: int, mode: str) -> DataFrame:
@@ -44,8 +53,8 @@ def inside(df: DataFrame, cells: DataFrame) -> DataFrame:
 
 def box(df: DataFrame, value: Column, radius: int, along: Callable[[Column], Column], name: str) -> DataFrame:
     """Adds name: `along` (an aggregate) of value over the square of radius around each cell, by rows, then columns."""
-    rows = df.withColumn(name, along(value).over(ROW.rowsBetween(-radius, radius)))
-    return rows.withColumn(name, along(F.col(name)).over(COLUMN.rowsBetween(-radius, radius)))
+    rows = df.withColumn(name, along(value).over(row().rowsBetween(-radius, radius)))
+    return rows.withColumn(name, along(F.col(name)).over(column().rowsBetween(-radius, radius)))
 
 
 def boundary_mask(cells: DataFrame, label: str = "landcover") -> DataFrame:
@@ -56,7 +65,7 @@ def boundary_mask(cells: DataFrame, label: str = "landcover") -> DataFrame:
 
 def boundary_mask4(cells: DataFrame, label: str = "landcover") -> DataFrame:
     """cells with is_boundary4: a cell above, below, left or right has another label."""
-    differs = [F.coalesce(step(label).over(w) != F.col(label), F.lit(False)) for w in (ROW, COLUMN) for step in (F.lag, F.lead)]
+    differs = [F.coalesce(step(label).over(w) != F.col(label), F.lit(False)) for w in (row(), column()) for step in (F.lag, F.lead)]
     return cells.withColumn("across", differs[0] | differs[1]).withColumn("is_boundary4", (F.col("across") | differs[2] | differs[3]).cast("int")).drop("across")
 
 
@@ -98,8 +107,8 @@ def local_entropy(cells: DataFrame, size: int = 3, label: str = "landcover") ->
     array per cell; each adds log2 of how often its label occurs there."""
     r = size // 2
     wide = padded(cells.select("x", "y", F.col(label).alias("label")), r, "clamp")
-    rows = wide.withColumn("labels", F.collect_list("label").over(ROW.rowsBetween(-r, r)))
-    square = inside(rows.withColumn("labels", F.flatten(F.collect_list("labels").over(COLUMN.rowsBetween(-r, r)))), cells)
+    rows = wide.withColumn("labels", F.collect_list("label").over(row().rowsBetween(-r, r)))
+    square = inside(rows.withColumn("labels", F.flatten(F.collect_list("labels").over(column().rowsBetween(-r, r)))), cells)
     n = float(size * size)
     logs = F.aggregate(F.array_distinct("labels"), F.lit(0.0), lambda s, v: s + F.size(F.filter("labels", lambda u: u == v)) * F.log2(F.size(F.filter("labels", lambda u: u == v)).cast("double")))
     return cells.join(square.select("x", "y", F.round(F.log2(F.lit(n)) - logs / n, 9).alias("entropy")), ["x", "y"])
@@ -112,10 +121,10 @@ def sobel(cells: DataFrame) -> DataFrame:
     def side(step, value: Column, w) -> Column:
         return F.coalesce(step(value).over(w), value)
 
-    rows = cells.withColumn("smooth", side(F.lag, z, ROW) + 2 * z + side(F.lead, z, ROW)).withColumn("across", side(F.lead, z, ROW) - side(F.lag, z, ROW))
+    rows = cells.withColumn("smooth", side(F.lag, z, row()) + 2 * z + side(F.lead, z, row())).withColumn("across", side(F.lead, z, row()) - side(F.lag, z, row()))
     s, a = F.col("smooth"), F.col("across")
-    gy = side(F.lead, s, COLUMN) - side(F.lag, s, COLUMN)
-    gx = side(F.lag, a, COLUMN) + 2 * a + side(F.lead, a, COLUMN)
+    gy = side(F.lead, s, column()) - side(F.lag, s, column())
+    gx = side(F.lag, a, column()) + 2 * a + side(F.lead, a, column())
     return rows.withColumn("gradient", F.sqrt(gx**2 + gy**2)).drop("smooth", "across")
 
 
@@ -123,17 +132,17 @@ def distance_transform(marked: DataFrame, mark: str = "is_boundary") -> DataFram
     """marked with edt: Euclidean distance to the nearest marked cell, null if none is. Per column the nearest mark above
     and below by frames, then per row the lower envelope of parabolas."""
     at = F.when(F.col(mark) == 1, F.col("y"))
-    above = F.last(at, True).over(COLUMN.rowsBetween(W.unboundedPreceding, 0))
-    below = F.first(at, True).over(COLUMN.rowsBetween(0, W.unboundedFollowing))
+    above = F.last(at, True).over(column().rowsBetween(W.unboundedPreceding, 0))
+    below = F.first(at, True).over(column().rowsBetween(0, W.unboundedFollowing))
     near = F.least(F.col("y") - above, below - F.col("y"))
     columns = marked.select("x", "y", near.cast("double").alias("g"))
 
-    def envelope(row: pd.DataFrame) -> pd.DataFrame:
-        row = row.sort_values("x")
-        x, g = row["x"].to_numpy(), row["g"].to_numpy() ** 2
+    def envelope(line: pd.DataFrame) -> pd.DataFrame:
+        line = line.sort_values("x")
+        x, g = line["x"].to_numpy(), line["g"].to_numpy() ** 2
         sites = np.flatnonzero(~np.isnan(g))
         if not len(sites):
-            return row.assign(edt=np.nan)[["x", "y", "edt"]]
+            return line.assign(edt=np.nan)[["x", "y", "edt"]]
         hull: list[int] = []
         starts: list[float] = []
         for q in sites.tolist():
@@ -149,7 +158,7 @@ def distance_transform(marked: DataFrame, mark: str = "is_boundary") -> DataFram
             hull.append(q)
             starts.append(s)
         own = np.array(hull)[np.searchsorted(np.array(starts), x, side="right") - 1]
-        return row.assign(edt=np.sqrt((x - x[own]) ** 2 + g[own]))[["x", "y", "edt"]]
+        return line.assign(edt=np.sqrt((x - x[own]) ** 2 + g[own]))[["x", "y", "edt"]]
 
     distances = columns.groupBy("y").applyInPandas(envelope, "x int, y int, edt double")
     return marked.join(distances.withColumn("edt", F.nanvl("edt", F.lit(None).cast("double"))), ["x", "y"])
