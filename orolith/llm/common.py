@@ -8,11 +8,17 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+
+def _listed(chars: str) -> str:
+    """The characters one by one: a class of single characters is one table lookup, each range in it one test more."""
+    return "".join(f"\\x{ord(c):02X}" for c in chars)
+
+
 #: Separators and words of the word-level contracts: ASCII letters and digits, and everything outside ASCII.
-SEPARATOR = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+_SEPARATORS = _listed("".join(c for c in map(chr, range(128)) if not c.isalnum()))
+SEPARATOR, WORD = f"[{_SEPARATORS}]", f"[^{_SEPARATORS}]+"
 #: Runs of anything but ASCII white space.
-TOKEN = r"[^\x20\x09-\x0D]+"
+TOKEN = f"[^{_listed(' ' + chr(9) + chr(10) + chr(11) + chr(12) + chr(13))}]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
