@@ -1,6 +1,6 @@
 """License scans: ordered signature rules over a text's words, gated by keywords, overlaps resolved by containment.
 
-A rule is a pattern of words. A text's words are written as `place|word ` in one string, so that a rule is one regular
+A rule is a pattern of words. A text's words are written as `word|place ` in one string, so that a rule is one regular
 expression whose matches carry their places, and every expression stays inside the engine. Only texts with a gate word
 are rewritten, and only rules whose keyword the text has are run on them.
 
@@ -11,60 +11,61 @@ labels always stay.
 
 from __future__ import annotations
 
+import json
 import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, ascii_lower
+from .common import SEPARATOR, WORD, ascii_lower
 
 #: Base phrases and their labels: fixed values of the contract.
 BASE = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
 
-#: label: (keyword, names). A name is a word pattern: `a|b` one of, `?a` optional, `#` any number.
-FAMILIES: dict[str, tuple[str, tuple[str, ...]]] = {
-    "mit": ("mit", ("mit", "mit x11", "expat")),
-    "x11": ("x11", ("x11",)),
-    "mit-0": ("mit", ("mit 0", "mit no attribution")),
-    "apache-2": ("apache", ("apache 2 ?0", "apache license 2 ?0", "apache license version 2 ?0", "apache software license ?version 2 ?0")),
-    "apache-1": ("apache", ("apache 1 0|1", "apache software license ?version 1 0|1")),
-    "gpl-2": ("g", ("gpl v2", "gplv2", "gpl 2 ?0", "gpl version 2", "gnu general public license ?version 2 ?0", "gnu general public license v2")),
-    "gpl-3": ("g", ("gpl v3", "gplv3", "gpl 3 ?0", "gpl version 3", "gnu general public license ?version 3 ?0", "gnu general public license v3")),
-    "lgpl-2.1": ("l", ("lgpl v2 1", "lgplv2 1", "lgpl 2 1", "gnu lesser general public license ?version 2 1", "gnu library general public license ?version 2 ?0")),
-    "lgpl-3": ("l", ("lgpl v3", "lgplv3", "lgpl 3 ?0", "gnu lesser general public license ?version 3 ?0")),
-    "agpl-3": ("a", ("agpl v3", "agplv3", "agpl 3 ?0", "gnu affero general public license ?version 3 ?0", "affero gpl")),
-    "gfdl": ("documentation", ("gnu free documentation license", "gfdl")),
-    "bsd-2": ("bsd", ("bsd 2 clause", "2 clause bsd", "two clause bsd", "simplified bsd", "freebsd")),
-    "bsd-3": ("bsd", ("bsd 3 clause", "3 clause bsd", "three clause bsd", "new bsd", "modified bsd", "revised bsd")),
-    "bsd-4": ("bsd", ("bsd 4 clause", "4 clause bsd", "original bsd")),
-    "0bsd": ("bsd", ("0bsd", "zero clause bsd")),
-    "mpl-2": ("m", ("mpl 2 ?0", "mozilla public license ?version 2 ?0")),
-    "mpl-1.1": ("m", ("mpl 1 1", "mozilla public license ?version 1 1")),
-    "epl-1": ("e", ("epl 1 ?0", "eclipse public license ?version 1 ?0")),
-    "epl-2": ("e", ("epl 2 ?0", "eclipse public license ?version 2 ?0")),
-    "eupl": ("e", ("eupl ?v|version ?1 ?1|2", "european union public licence|license")),
-    "cddl-1": ("c", ("cddl ?1 ?0", "common development and distribution license ?version ?1 ?0")),
-    "cpl-1": ("common", ("cpl 1 0", "common public license ?version 1 0")),
-    "isc": ("isc", ("isc", "internet systems consortium")),
-    "zlib": ("zlib", ("zlib", "zlib libpng")),
-    "boost-1": ("b", ("boost software ?license ?version 1 0", "bsl 1 0", "boost 1 0")),
-    "artistic-1": ("artistic", ("artistic ?license ?version 1 ?0", "perl artistic")),
-    "artistic-2": ("artistic", ("artistic ?license ?version 2 ?0",)),
-    "python-2": ("p", ("psf ?license ?version ?2", "python software foundation")),
-    "postgresql": ("postgresql", ("postgresql",)),
-    "unlicense": ("unlicense", ("unlicense",)),
-    "wtfpl": ("wtfpl", ("wtfpl ?version ?2",)),
-    "openssl": ("openssl", ("openssl",)),
-    "ofl-1.1": ("o", ("sil open font license ?version ?1 ?1", "ofl 1 1")),
-    "odbl": ("o", ("odbl ?v ?1 ?0", "open database license")),
-    "cc0": ("c", ("cc0 ?1 ?0", "cc zero", "creative commons zero")),
-    "cc-by": ("c", ("cc by #", "creative commons attribution ?#", "creative commons by")),
-    "cc-by-sa": ("c", ("cc by sa ?#", "creative commons attribution sharealike ?#", "creative commons attribution share alike ?#")),
-    "cc-by-nd": ("c", ("cc by nd ?#", "creative commons attribution noderivatives|noderivs ?#", "creative commons attribution no derivatives ?#")),
-    "cc-by-nc": ("c", ("cc by nc ?#", "creative commons attribution noncommercial ?#", "creative commons attribution non commercial ?#")),
-    "cc-by-nc-sa": ("c", ("cc by nc sa ?#", "creative commons attribution noncommercial sharealike ?#")),
-    "cc-by-nc-nd": ("c", ("cc by nc nd ?#", "creative commons attribution noncommercial noderivatives|noderivs ?#")),
+#: label: names. A name is a word pattern: `a|b` one of, `?a` optional, `#` any number.
+FAMILIES: dict[str, tuple[str, ...]] = {
+    "mit": ("mit", "mit x11", "expat"),
+    "x11": ("x11",),
+    "mit-0": ("mit 0", "mit no attribution"),
+    "apache-2": ("apache 2 ?0", "apache license 2 ?0", "apache license version 2 ?0", "apache software license ?version 2 ?0"),
+    "apache-1": ("apache 1 0|1", "apache software license ?version 1 0|1"),
+    "gpl-2": ("gpl v2", "gplv2", "gpl 2 ?0", "gpl version 2", "gnu general public license ?version 2 ?0", "gnu general public license v2"),
+    "gpl-3": ("gpl v3", "gplv3", "gpl 3 ?0", "gpl version 3", "gnu general public license ?version 3 ?0", "gnu general public license v3"),
+    "lgpl-2.1": ("lgpl v2 1", "lgplv2 1", "lgpl 2 1", "gnu lesser general public license ?version 2 1", "gnu library general public license ?version 2 ?0"),
+    "lgpl-3": ("lgpl v3", "lgplv3", "lgpl 3 ?0", "gnu lesser general public license ?version 3 ?0"),
+    "agpl-3": ("agpl v3", "agplv3", "agpl 3 ?0", "gnu affero general public license ?version 3 ?0", "affero gpl"),
+    "gfdl": ("gnu free documentation license", "gfdl"),
+    "bsd-2": ("bsd 2 clause", "2 clause bsd", "two clause bsd", "simplified bsd", "freebsd"),
+    "bsd-3": ("bsd 3 clause", "3 clause bsd", "three clause bsd", "new bsd", "modified bsd", "revised bsd"),
+    "bsd-4": ("bsd 4 clause", "4 clause bsd", "original bsd"),
+    "0bsd": ("0bsd", "zero clause bsd"),
+    "mpl-2": ("mpl 2 ?0", "mozilla public license ?version 2 ?0"),
+    "mpl-1.1": ("mpl 1 1", "mozilla public license ?version 1 1"),
+    "epl-1": ("epl 1 ?0", "eclipse public license ?version 1 ?0"),
+    "epl-2": ("epl 2 ?0", "eclipse public license ?version 2 ?0"),
+    "eupl": ("eupl ?v|version ?1 ?1|2", "european union public licence|license"),
+    "cddl-1": ("cddl ?1 ?0", "common development and distribution license ?version ?1 ?0"),
+    "cpl-1": ("cpl 1 0", "common public license ?version 1 0"),
+    "isc": ("isc", "internet systems consortium"),
+    "zlib": ("zlib", "zlib libpng"),
+    "boost-1": ("boost software ?license ?version 1 0", "bsl 1 0", "boost 1 0"),
+    "artistic-1": ("artistic ?license ?version 1 ?0", "perl artistic"),
+    "artistic-2": ("artistic ?license ?version 2 ?0",),
+    "python-2": ("psf ?license ?version ?2", "python software foundation"),
+    "postgresql": ("postgresql",),
+    "unlicense": ("unlicense",),
+    "wtfpl": ("wtfpl ?version ?2",),
+    "openssl": ("openssl",),
+    "ofl-1.1": ("sil open font license ?version ?1 ?1", "ofl 1 1"),
+    "odbl": ("odbl ?v ?1 ?0", "open database license"),
+    "cc0": ("cc0 ?1 ?0", "cc zero", "creative commons zero"),
+    "cc-by": ("cc by #", "creative commons attribution ?#", "creative commons by"),
+    "cc-by-sa": ("cc by sa ?#", "creative commons attribution sharealike ?#", "creative commons attribution share alike ?#"),
+    "cc-by-nd": ("cc by nd ?#", "creative commons attribution noderivatives|noderivs ?#", "creative commons attribution no derivatives ?#"),
+    "cc-by-nc": ("cc by nc ?#", "creative commons attribution noncommercial ?#", "creative commons attribution non commercial ?#"),
+    "cc-by-nc-sa": ("cc by nc sa ?#", "creative commons attribution noncommercial sharealike ?#"),
+    "cc-by-nc-nd": ("cc by nc nd ?#", "creative commons attribution noncommercial noderivatives|noderivs ?#"),
 }
 
 #: Ways to state a license, for each name: tier and pattern.
@@ -76,71 +77,94 @@ STATEMENTS = (
     (2, "license|licence is|under ?the {}"),
 )
 
-#: Notices and mentions that name no license by the ways above: label, tier, keyword, pattern.
+#: Notices and mentions that name no license by the ways above: label, tier, pattern.
 NOTICES = (
-    ("mit", 1, "permission", "permission is hereby granted free of charge to any person obtaining a copy"),
-    ("mit", 1, "warranty", "the software is provided as is without warranty of any kind express or implied"),
-    ("isc", 1, "permission", "permission to use copy modify and or distribute this software for any purpose"),
-    ("bsd-3", 1, "redistribution", "neither the name of ?the # nor the names of its contributors"),
-    ("bsd-2", 2, "redistribution", "redistribution and use in source and binary forms with or without modification are permitted"),
-    ("gpl", 1, "gnu", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license"),
-    ("gpl", 2, "gnu", "gnu general public license"),
-    ("lgpl", 2, "gnu", "gnu lesser general public license"),
-    ("agpl", 2, "gnu", "gnu affero general public license"),
-    ("apache-2", 1, "apache", "apache license version 2 0 the license you may not use this file except in compliance with the license"),
-    ("apache", 2, "apache", "apache license"),
-    ("mpl-2", 1, "mozilla", "this source code form is subject to the terms of the mozilla public license v|version 2 ?0"),
-    ("unlicense", 1, "unencumbered", "this is free and unencumbered software released into the public domain"),
-    ("zlib", 1, "warranty", "this software is provided as is without any express or implied warranty"),
-    ("public-domain", 2, "domain", "public domain"),
-    ("proprietary", 2, "reserved", "all rights reserved"),
-    ("proprietary", 2, "confidential", "proprietary and confidential"),
-    ("creative-commons", 3, "commons", "creative commons"),
-    ("unknown-license", 3, "licen", "licensed|released under ?the|a|an"),
-    ("unknown-license", 3, "licen", "this work|document|software|program|text is licensed"),
+    ("mit", 1, "permission is hereby granted free of charge to any person obtaining a copy"),
+    ("mit", 1, "the software is provided as is without warranty of any kind express or implied"),
+    ("isc", 1, "permission to use copy modify and or distribute this software for any purpose"),
+    ("bsd-3", 1, "neither the name of ?the # nor the names of its contributors"),
+    ("bsd-2", 2, "redistribution and use in source and binary forms with or without modification are permitted"),
+    ("gpl", 1, "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license"),
+    ("gpl", 2, "gnu general public license"),
+    ("lgpl", 2, "gnu lesser general public license"),
+    ("agpl", 2, "gnu affero general public license"),
+    ("apache-2", 1, "apache license version 2 0 the license you may not use this file except in compliance with the license"),
+    ("apache", 2, "apache license"),
+    ("mpl-2", 1, "this source code form is subject to the terms of the mozilla public license v|version 2 ?0"),
+    ("unlicense", 1, "this is free and unencumbered software released into the public domain"),
+    ("zlib", 1, "this software is provided as is without any express or implied warranty"),
+    ("public-domain", 2, "public domain"),
+    ("proprietary", 2, "all rights reserved"),
+    ("proprietary", 2, "proprietary and confidential"),
+    ("creative-commons", 3, "creative commons"),
+    ("unknown-license", 3, "licensed|released under ?the|a|an"),
+    ("unknown-license", 3, "this work|document|software|program|text is licensed"),
 )
 
-#: A text without any of these has no detection: every rule needs one.
-GATE = r"(?i)licen[sc]|gpl|apache|spdx|cc" + r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+(?:by|zero)|commons|permission|warranty|redistribution|gnu|unencumbered|terms|conditions|domain|reserved|confidential"
+#: A text without any of these has no detection: every rule needs one, or "cc" followed by "by" or "zero".
+GATE_WORDS = ("licen", "gpl", "apache", "spdx", "commons", "permission", "warranty", "redistribution", "gnu", "unencumbered", "contributors", "terms", "conditions", "domain", "reserved", "confidential")
+GATE_CC = f"[cC][cC]{SEPARATOR}+(?:[bB][yY]|[zZ][eE][rR][oO])"
 CONFIDENCE = {1: 1.0, 2: 0.9, 3: 0.5}
 
 
+#: Words that tell little of a license, so no keywords if a rule has others.
+GENERIC = frozenset("license licence licensed version software public general under terms the this work".split())
+
+
 @dataclass(frozen=True)
 class Rule:
     label: str
     tier: int
-    keyword: str
     pattern: str
     base: bool = False
 
+    def keyword(self) -> str:
+        """The longest word that every match has and that tells most."""
+        needed = [x for x in self.pattern.split() if x[0] not in "?#" and "|" not in x]
+        return max(needed, key=lambda x: (x not in GENERIC and not x.isdigit(), len(x)))
+
     def regex(self) -> str:
-        """Over `place|word ` strings."""
+        """Over `word|place ` strings."""
         out = []
         for slot in self.pattern.split():
             optional, slot = slot.startswith("?"), slot.removeprefix("?")
             words = r"[0-9]+" if slot == "#" else "|".join(map(re.escape, slot.split("|")))
-            out.append(f"(?:[0-9]+\\|(?:{words}) )" + "?" * optional)
+            out.append(f"(?:(?:{words})\\|[0-9]+ )" + "?" * optional)
         return "(?<![^ ])" + "".join(out)
 
 
 def rules() -> list[Rule]:
     """All rules in order: the base phrases, notices, then each statement of each name of each family."""
-    out = [Rule(label, 2, phrase.split()[-2] if "mit" in phrase else phrase.split()[0], phrase, True) for phrase, label in BASE]
-    out += [Rule(label, tier, keyword, pattern) for label, tier, keyword, pattern in NOTICES]
-    out += [Rule(label, tier, keyword, statement.format(name)) for label, (keyword, names) in FAMILIES.items() for name in names for tier, statement in STATEMENTS]
+    out = [Rule(label, 2, phrase, True) for phrase, label in BASE]
+    out += [Rule(label, tier, pattern) for label, tier, pattern in NOTICES]
+    out += [Rule(label, tier, statement.format(name)) for label, names in FAMILIES.items() for name in names for tier, statement in STATEMENTS]
     return out
 
 
+def gated(text: Column) -> Column:
+    """Whether a text has a gate word, in any case."""
+    low = F.lower(text)
+    found = F.contains(low, F.lit(GATE_WORDS[0]))
+    for word in GATE_WORDS[1:]:
+        found = found | F.contains(low, F.lit(word))
+    return found | text.rlike(GATE_CC)
+
+
+RULE = "array<struct<nth: int, label: string, tier: int, keyword: string, regex: string, base: boolean>>"
+
+
 def _rule_table() -> Column:
-    return F.array(*[F.struct(F.lit(i).alias("nth"), F.lit(r.label).alias("label"), F.lit(r.tier).alias("tier"), F.lit(r.keyword).alias("keyword"), F.lit(r.regex()).alias("regex"), F.lit(r.base).alias("base")) for i, r in enumerate(rules())])
+    """All rules as one constant; given as JSON, it is a single node of the plan, evaluated once."""
+    rows = [{"nth": i, "label": r.label, "tier": r.tier, "keyword": r.keyword(), "regex": r.regex(), "base": r.base} for i, r in enumerate(rules())]
+    return F.from_json(F.lit(json.dumps(rows)), RULE)
 
 
-def _detections(numbered: Column, plain: Column) -> Column:
-    """Matches (start, minus stop, tier, nth, label, base) of all rules whose keyword the text has."""
-    live = F.filter(_rule_table(), lambda r: F.contains(plain, r["keyword"]))
+def _detections(numbered: Column, keywords: Column) -> Column:
+    """Matches (start, minus stop, tier, nth, label, base) of all rules whose keyword is among the text's."""
+    live = F.filter(_rule_table(), lambda r: F.array_contains(keywords, r["keyword"]))
 
     def found(r: Column) -> Column:
-        start = lambda m: F.substring_index(m, "|", 1).cast("int")
+        start = lambda m: F.substring_index(F.substring_index(m, " ", 1), "|", -1).cast("int")
         length = lambda m: F.length(m) - F.length(F.replace(m, F.lit("|"), F.lit("")))
         return F.transform(F.regexp_extract_all(numbered, r["regex"], F.lit(0)), lambda m: F.struct(start(m).alias("start"), (-(start(m) + length(m))).alias("back"), r["tier"].alias("tier"), r["nth"].alias("nth"), r["label"].alias("label"), r["base"].alias("base")))
 
@@ -171,10 +195,12 @@ def scan(documents: DataFrame) -> DataFrame:
     or identifier, 0.9 for a named license, 0.5 for a mention, else 0. detections: all matches with places, labels and
     tiers, before suppression. Null text has no words; repeated rows get the same result each."""
     text = F.coalesce("text", F.lit(""))
-    counted = documents.select("doc_id", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("n_words"), F.when(text.rlike(GATE), F.regexp_extract_all(ascii_lower(text), F.lit(WORD), F.lit(0))).alias("words"))
-    numbered = counted.select("doc_id", "n_words", F.array_join("words", " ").alias("plain"), F.array_join(F.transform("words", lambda w, i: F.concat(i.cast("string"), F.lit("|"), w, F.lit(" "))), "").alias("numbered"))
+    counted = documents.select("doc_id", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("n_words"), F.when(gated(text), F.regexp_extract_all(ascii_lower(text), F.lit(WORD), F.lit(0))).alias("words"))
+    numbered = counted.select("doc_id", "n_words", F.array_intersect("words", F.array(*map(F.lit, sorted({r.keyword() for r in rules()})))).alias("keywords"), F.array_join(F.transform("words", lambda w, i: F.concat(w, F.lit("|"), i.cast("string"), F.lit(" "))), "").alias("numbered"))
+    # the strings are bound as an outer variable: written into the inner functions they would be made again for each rule
+    bound = F.flatten(F.transform(F.array(F.struct("keywords", "numbered")), lambda t: _detections(t["numbered"], t["keywords"])))
     none = F.array().cast("array<struct<start:int,back:int,tier:int,nth:int,label:string,base:boolean>>")
-    found = numbered.select("doc_id", "n_words", F.when(F.col("numbered").isNotNull(), _detections(F.col("numbered"), F.col("plain"))).otherwise(none).alias("detections"))
+    found = numbered.select("doc_id", "n_words", F.when(F.col("numbered").isNotNull(), bound).otherwise(none).alias("detections"))
     parted = found.withColumn("base", F.filter("detections", lambda d: d["base"])).withColumn("kept", _kept(F.col("detections")))
     base_labels = F.array_distinct(F.transform("base", lambda d: d["label"]))
     every = F.array_union(F.col("kept.labels"), base_labels)
