@@ -40,8 +40,7 @@ def nearest(points: DataFrame, seeds: DataFrame, side: int, ties: bool, keys: li
     than the ring reaches is tried again with a ring twice as wide, so sparse areas are exact too."""
     seeds = stable(seeds.select("seed_id", F.col("x").alias("sx"), F.col("y").alias("sy")))
     left, done, ring = points, None, 1
-    spread = seeds.agg(F.min("sx"), F.max("sx"), F.min("sy"), F.max("sy")).first()
-    if spread[0] is None:
+    if not seeds.take(1):
         return points.withColumn("seed_id", F.lit(None).cast("long")).withColumn("d2", F.lit(None).cast("double")).limit(0)
     rank = F.rank if ties else F.row_number
     while True:
@@ -60,10 +59,6 @@ def nearest(points: DataFrame, seeds: DataFrame, side: int, ties: bool, keys: li
         if not left.take(1):
             return done
         ring *= 2
-        if step > 4 * (1 + max(abs(v) for v in spread)) + 4 * side:
-            far = left.crossJoin(F.broadcast(seeds)) if seeds.count() <= 64 else left.join(seeds)
-            far = far.withColumn("d2", (F.col("x") - F.col("sx")).cast("double") ** 2 + (F.col("y") - F.col("sy")).cast("double") ** 2)
-            return done.unionByName(far.withColumn("nth", rank().over(order)).where("nth = 1").drop("sx", "sy", "nth"))
 
 
 def members(cells: DataFrame, seeds: DataFrame, ties: bool = True) -> DataFrame:
