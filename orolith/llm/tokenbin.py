@@ -14,6 +14,7 @@ documents can be packed where they are tokenised, before anything is shuffled.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -155,6 +156,10 @@ def read_block(payload: bytes) -> tuple[np.ndarray, np.ndarray]:
 SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
+#: ASCII marks that the byte-level pattern joins to nothing but marks; the apostrophe may join letters.
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
 class Encoder:
     """Ids of texts by a byte-level BPE file of the tokenizers library, with what a space-separated piece gives remembered.
 
@@ -164,7 +169,7 @@ class Encoder:
     pieces, so it is bounded at any input size.
     """
 
-    def __init__(self, path: str, remember: int = 1_300_000):
+    def __init__(self, path: str, remember: int = 900_000):
         import os
         import re
 
@@ -175,18 +180,49 @@ class Encoder:
         self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.whole = re.compile("|".join([r"(?<=\s) (?=\s|\Z)", *map(re.escape, self.special)]))
         self.width = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        if type(self.tokenizer.pre_tokenizer).__name__ != "ByteLevel" or not self.tokenizer.pre_tokenizer.use_regex:
+            raise ValueError("not a byte-level tokenizer that splits by its pattern")
+        self.parts: dict[str, bytes] = {}
         self.memory: dict[str, bytes] = {}
         self.remember = remember
 
     def library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, self.width).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        kind = "H" if self.width.itemsize == 2 else "I"
+        return [array(kind, x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def parted(self, piece: str) -> list[str] | None:
+        """The keys of what the byte-level pre-tokenizer always parts in a piece that follows a space: lines (one line
+        feed between others than white space is a token's end and beginning), letters, and the marks after letters. A key
+        is the text, with a space before it if one belongs to it. None if the piece may not be parted so."""
+        out = []
+        for i, line in enumerate(piece.split("\n")):
+            letters = line.rstrip(MARKS)
+            if not letters.isalpha():
+                if i == 0 and letters == piece or not line or line[0].isspace() or line[-1].isspace():
+                    return None
+                letters = line
+            if i:
+                out.append("\n")
+            out.append(letters if i else " " + letters)
+            if len(letters) < len(line):
+                out.append(line[len(letters) :])
+        return out
+
+    def learn(self, pieces: list[str]) -> None:
+        """Remembers pieces, by their parts where they can be parted; only unknown parts go to the library."""
+        parts, keys = self.parts, [self.parted(x) or [" " + x] for x in pieces]
+        asked = list({k for x in keys for k in x if k not in parts})
+        fresh = dict(zip(asked, self.library(asked), strict=True))
+        parts.update((k, v) for k, v in fresh.items() if len(k) < 64)
+        for x, own in zip(pieces, keys, strict=True):
+            self.memory[x] = b"".join([fresh.get(k) or parts[k] for k in own])
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         joined = "\0".join(texts)
         plain = not any(x in joined for x in ("  ", *(c + " " for c in SPACES if c in joined), *self.special))
         del joined
-        if len(self.memory) > self.remember:
-            self.memory = {}
+        if len(self.memory) + len(self.parts) > self.remember:
+            self.memory, self.parts = {}, {}
         get, out, late, unknown = self.memory.get, [b""] * len(texts), [], set()
         whole = [] if plain else [i for i, x in enumerate(texts) if self.whole.search(x)]
         aside = set(whole)
@@ -206,8 +242,7 @@ class Encoder:
                 unknown.update(x for x, y in zip(pieces, parts, strict=True) if y is None)
             else:
                 out[i] = b"".join(parts)
-        learn = list(unknown)
-        self.memory.update(zip(learn, self.library([" " + x for x in learn]), strict=True))
+        self.learn(list(unknown))
         own = self.memory.__getitem__
         for i, pieces in late:
             out[i] = b"".join(map(own, pieces))
@@ -226,22 +261,15 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
-PACKED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("words", T.BinaryType())])
-
-
-def encode_documents(documents: DataFrame, tokenizer_path: str, end_id: int = END_ID) -> DataFrame:
-    """(doc_id, n_tokens, words) of each document of (doc_id, text): its ids and end_id, packed. Null text: empty."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = encoder(tokenizer_path)
-        for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
-                texts = [x or "" for x in batch.column(1).to_pylist()]
-                ids = [np.append(x.astype(np.uint64), np.uint64(end_id)) for x in coder.encode(texts)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in pack_documents(ids)], pa.binary())], names=PACKED.names)
-
-    return documents.select("doc_id", "text").mapInArrow(run, PACKED)
+def encoded(batches: Iterator[pa.RecordBatch], tokenizer_path: str, end_id: int) -> Iterator[tuple[int | None, int, bytes]]:
+    """(doc_id, id count, words) of each document of (doc_id, text): its ids and end_id, packed. Null text: empty."""
+    coder = encoder(tokenizer_path)
+    for whole in batches:
+        for at in range(0, whole.num_rows, 256):
+            batch = whole.slice(at, 256)
+            ids = [np.append(x.astype(np.uint64), np.uint64(end_id)) for x in coder.encode([x or "" for x in batch.column(1).to_pylist()])]
+            for doc, own, words in zip(batch.column(0).to_pylist(), ids, pack_documents(ids), strict=True):
+                yield doc, len(own), words.tobytes()
 
 
 BLOCKS = T.StructType([T.StructField(n, T.LongType()) for n in ("part", "block", "n_ids")] + [T.StructField("doc_ids", T.ArrayType(T.LongType())), T.StructField("payload", T.BinaryType())])
@@ -250,33 +278,32 @@ BLOCKS = T.StructType([T.StructField(n, T.LongType()) for n in ("part", "block",
 def write_ids(documents: DataFrame, path: str, tokenizer_path: str, block_ids: int = 1 << 18, end_id: int = END_ID) -> None:
     """Writes the ids of documents in ascending doc_id order as blocks of at least block_ids ids (fewer at a part's end).
 
-    Documents are packed where they lie; only packed words are dealt by ranges of doc_id. Null ids come first, equal
-    ids in the order of their packed words. Parts ascend with doc_id; an empty table gives an empty file set.
+    Texts are dealt by ranges of doc_id before they are tokenised, so that neither the sampling of the ranges nor
+    anything else tokenises twice. Null ids come first, equal ids in the order of their texts' hashes. Parts ascend with
+    doc_id; an empty table gives an empty file set.
     """
     from pyspark import TaskContext
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, block = TaskContext.get().partitionId(), 0
+        part, block, full = TaskContext.get().partitionId(), 0, 0
         held: list[tuple[bytes, int]] = []
         names: list[int | None] = []
 
         def row() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([block], pa.int64()), pa.array([sum(n for _, n in held)], pa.int64()), pa.array([names], pa.list_(pa.int64())), pa.array([write_block(held)], pa.binary())], names=BLOCKS.names)
-
-        full = 0
-        for batch in batches:
-            for doc, n, words in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                held.append((words, n))
-                names.append(doc)
-                full += n
-                if full >= block_ids:
-                    yield row()
-                    held, names, full, block = [], [], 0, block + 1
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([block], pa.int64()), pa.array([full], pa.int64()), pa.array([names], pa.list_(pa.int64())), pa.array([write_block(held)], pa.binary())], names=BLOCKS.names)
+
+        for doc, n, words in encoded(batches, tokenizer_path, end_id):
+            held.append((words, n))
+            names.append(doc)
+            full += n
+            if full >= block_ids:
+                yield row()
+                held, names, full, block = [], [], 0, block + 1
         if held:
             yield row()
 
-    packed = encode_documents(documents, tokenizer_path, end_id)
-    packed.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "words").mapInArrow(run, BLOCKS).write.parquet(path)
+    dealt = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id")
+    dealt.sortWithinPartitions("doc_id", F.xxhash64("text")).mapInArrow(run, BLOCKS).write.parquet(path)
 
 
 DIGESTS = T.StructType([T.StructField(n, T.LongType()) for n in ("part", "block", "place", "doc_id", "before", "n_tokens", "ids_crc32")])
