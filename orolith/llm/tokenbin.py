@@ -165,11 +165,11 @@ class Encoder:
 
     The library's pre-tokenizer never joins a space and a following non-space with what stands before them, so a text
     is the concatenation of its pieces, each with its leading space, unless a space stands between other white space;
-    such texts, and those with a special token's string, go to the library whole. The memory is emptied at `remember`
-    pieces, so it is bounded at any input size.
+    such texts, and those with a special token's string, go to the library whole. Parts are remembered up to `remember`,
+    pieces up to half as many, then forgotten, so memory is bounded at any input size.
     """
 
-    def __init__(self, path: str, remember: int = 900_000):
+    def __init__(self, path: str, remember: int = 800_000):
         import os
         import re
 
@@ -221,8 +221,10 @@ class Encoder:
         joined = "\0".join(texts)
         plain = not any(x in joined for x in ("  ", *(c + " " for c in SPACES if c in joined), *self.special))
         del joined
-        if len(self.memory) + len(self.parts) > self.remember:
-            self.memory, self.parts = {}, {}
+        if len(self.memory) > self.remember // 2:
+            self.memory = {}
+        if len(self.parts) > self.remember:
+            self.parts = {}
         get, out, late, unknown = self.memory.get, [b""] * len(texts), [], set()
         whole = [] if plain else [i for i, x in enumerate(texts) if self.whole.search(x)]
         aside = set(whole)
@@ -246,6 +248,9 @@ class Encoder:
         own = self.memory.__getitem__
         for i, pieces in late:
             out[i] = b"".join(map(own, pieces))
+        for x in unknown:
+            if "\n" in x:  # an end of a line with the next one's beginning hardly comes again
+                del self.memory[x]
         for i, x in zip(whole, self.library([texts[i] for i in whole]), strict=True):
             out[i] = x
         return [np.frombuffer(x + y, self.width) for x, y in zip(self.library(heads), out, strict=True)]
