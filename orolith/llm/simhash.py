@@ -218,7 +218,15 @@ def near_duplicates(documents: DataFrame, shingle: int = 3, radius: int = RADIUS
     """
     own = stable(fingerprints(documents, shingle))
     groups = stable(own.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = components(hamming_links(groups, radius, leaf))
+    return named(own, hamming_links(groups, radius, leaf), groups)
+
+
+def named(own: DataFrame, links: DataFrame, groups: DataFrame | None = None) -> DataFrame:
+    """(doc_id, fingerprint, component_id) of (doc_id, fp) by links between fps; groups, if at hand, has each fp's least
+    doc_id."""
+    if groups is None:
+        groups = stable(own.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    roots = components(links)
     placed = groups.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     names = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     named = placed.join(names, "root").select("fp", "component_id")
@@ -228,7 +236,11 @@ def near_duplicates(documents: DataFrame, shingle: int = 3, radius: int = RADIUS
 def deduplicate(documents: DataFrame, **options) -> DataFrame:
     """One row of each component of near_duplicates: that of the smallest doc_id, null only if no row of it has an id.
     Of rows that share that id one stays."""
-    found = near_duplicates(documents, **options)
+    return first_of_each(documents, near_duplicates(documents, **options))
+
+
+def first_of_each(documents: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of documents whose doc_id names a component of found, one each."""
     kept = stable(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct())
     joined = documents.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
     return joined.dropDuplicates(["doc_id"])
