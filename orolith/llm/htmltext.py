@@ -37,6 +37,8 @@ ROLES = frozenset("navigation banner contentinfo complementary search dialog ale
 HEAD_IN = frozenset({"article", "main", "section"})
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|[^<]+|<", re.S)
+#: The end tags of the elements whose insides are no markup.
+RAW_END = {x: re.compile(rf"</{x}(?=[\s/>])[^>]*>", re.I) for x in RAW}
 ATTRIBUTE = re.compile(r"([^\s=/\"']+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 SPLIT_NAME = re.compile(r"[a-z]+")
 
@@ -65,14 +67,9 @@ def parse(page: str) -> Node:
     """A tree of elements and decoded texts; unclosed and misnested tags are closed as browsers do, roughly."""
     root = Node("#", "#", None, False)
     at = root
-    raw = None
-    for m in TOKEN.finditer(page):
+    tokens = TOKEN.finditer(page)
+    while (m := next(tokens, None)) is not None:
         tag = m.group(2)
-        if raw is not None:  # inside a script, style or the like only its own end tag counts
-            if tag and m.group(1) and tag.lower() == raw:
-                raw = None
-                at = at.parent or root
-            continue
         if tag is None:
             piece = m.group()
             if piece[0] != "<" or piece == "<":
@@ -104,9 +101,13 @@ def parse(page: str) -> Node:
         at.children.append(node)
         if tag in VOID or m.group(3).endswith("/") and tag not in INLINE and tag not in CONTAINERS and tag != "p":
             continue
+        if tag in RAW:  # inside a script, style or the like only its own end tag counts
+            end = RAW_END[tag].search(page, m.end())
+            if end is None:
+                break
+            tokens = TOKEN.finditer(page, end.end())
+            continue
         at = node
-        if tag in RAW:
-            raw = tag
     return root
 
 

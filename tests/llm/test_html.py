@@ -38,3 +38,9 @@ def test_consensus_and_odd_rows(spark):
     assert by[0].text == "H " + " ".join(["main words here"] * 20) and by[0].n_chars == len(by[0].text)
     assert by[11].text == "no url" and by[12].text == "" and by[13].text == "" and by[None].text == "other shape"
     assert htmltext.main_text(pages.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("inside", ["for(i=0;i<n;i++){}", "if(a<b&&c>d){x='<p>no</p>'}", "<!-- never closed", "s='</scripts>'+\"</\"+\"p>\"", "a<b"])
+@pytest.mark.parametrize("tags", [("script", "script"), ("SCRIPT type='x'", "Script "), ("style", "style"), ("title", "title\n"), ("textarea", "textarea")])
+def test_markup_inside_raw_elements(inside, tags):
+    assert htmltext.extract(f"<div><p>before</p><{tags[0]}>{inside}</{tags[1]}><p>article</p></div>", []) == "before article"
