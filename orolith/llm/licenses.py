@@ -101,9 +101,11 @@ NOTICES = (
     ("unknown-license", 3, "this work|document|software|program|text is licensed"),
 )
 
-#: A text without any of these has no detection: every rule needs one, or "cc" followed by "by" or "zero".
+#: A text without any of these has no detection: every rule needs one, or "cc" followed by "by" or "zero", or a verb of the
+#: first statement followed by "under".
 GATE_WORDS = ("licen", "gpl", "apache", "spdx", "commons", "permission", "warranty", "redistribution", "gnu", "unencumbered", "contributors", "terms", "conditions", "domain", "reserved", "confidential")
 GATE_CC = f"[cC][cC]{SEPARATOR}+(?:[bB][yY]|[zZ][eE][rR][oO])"
+GATE_UNDER = f"(?:{STATEMENTS[0][1].split()[0]}){SEPARATOR}+under"
 CONFIDENCE = {1: 1.0, 2: 0.9, 3: 0.5}
 
 
@@ -142,12 +144,12 @@ def rules() -> list[Rule]:
 
 
 def gated(text: Column) -> Column:
-    """Whether a text has a gate word, in any case."""
+    """Whether a text has a gate word or pair, in any case."""
     low = F.lower(text)
     found = F.contains(low, F.lit(GATE_WORDS[0]))
     for word in GATE_WORDS[1:]:
         found = found | F.contains(low, F.lit(word))
-    return found | text.rlike(GATE_CC)
+    return found | text.rlike(GATE_CC) | (F.contains(low, F.lit("under")) & low.rlike(GATE_UNDER))
 
 
 RULE = "array<struct<nth: int, label: string, tier: int, keyword: string, regex: string, base: boolean>>"

@@ -1,4 +1,5 @@
 import hashlib
+import itertools
 import re
 import zlib
 
@@ -76,6 +77,24 @@ def test_gate_lets_every_rule_through(spark):
     assert rows.where(~licenses.gated(F.col("text"))).collect() == []
 
 
+def test_gate_lets_every_alternative_through(spark):
+    samples = set()
+    for rule in licenses.rules():
+        slots = [(["4"] if s.lstrip("?") == "#" else s.lstrip("?").split("|")) + [""] * s.startswith("?") for s in rule.pattern.split()]
+        for chosen in itertools.product(*slots):
+            sample = " ".join(filter(None, chosen))
+            assert rule.keyword() in sample.split(), rule
+            samples.add(sample)
+    rows = spark.createDataFrame([(x,) for s in samples for x in (s, s.upper().replace(" ", ", "))], "text string")
+    assert rows.where(~licenses.gated(F.col("text"))).collect() == []
+
+
+@pytest.mark.parametrize(("text", "labels"), [("Released under MIT", "mit"), ("distributed under the BSD 3-Clause", "bsd-3"), ("available under MPL 2.0", "mpl-2"), ("published under CC0", "cc0"), ("Issued under an ISC", "isc"), ("released under the moon", "unknown-license"), ("went under the bridge", "")])
+def test_statements_without_the_word_license(spark, text, labels):
+    got = licenses.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert got.labels == labels and (got.score > 0) == bool(labels)
+
+
 # language
 
 
