@@ -16,6 +16,8 @@ GOLDEN, TURN = 2654435769, 1 << 32
 CELLS = 1024
 CHUNK = 1 << 16
 BUCKET = 4096
+#: A source whose target is under so many blocks takes its target to the word: of some blocks, the schedule's are too coarse.
+FEW_BLOCKS = 1024
 
 
 def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
@@ -67,7 +69,8 @@ def mix(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     A source's documents lie end to end in the order of md5(doc_id), once for each of `most` passes, and are cut into
     blocks of equal tokens; the schedule's slots take the source's blocks in order. taken counts the words of a document
     in blocks that a slot takes, so it is at most `most` times its size, and a source's words differ from its target by
-    the schedule's discrepancy, a few blocks. Places are prefix sums over buckets of the order, about 4096 rows each, so
+    the schedule's discrepancy, a few blocks. A source whose target is under FEW_BLOCKS blocks takes its words up to the
+    target, whatever its slots. Places are prefix sums over buckets of the order, about 4096 rows each, so
     a hot source is spread. Null texts have no words; documents without words take none; repeated rows are mixed each.
     """
     spark = documents.sparkSession
@@ -88,10 +91,13 @@ def mix(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     laid = laid.join(starts, ["src", "bucket"]).withColumn("place", F.col("start") + F.col("upto") - F.col("size"))
     passes = laid.withColumn("place", F.explode(F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda k: F.col("place") + k * F.col("source_size"))))
     end = F.col("place") + F.col("size")
-    pieces = passes.withColumn("block", F.explode(F.sequence(F.floor(F.col("place") / block), F.floor((F.greatest(end, F.col("place") + 1) - 1) / block))))
+    few = F.col("target") < FEW_BLOCKS * block
+    exact = passes.where(few).withColumn("part", F.greatest(F.lit(0), F.least(end, F.round("target").cast("long")) - F.col("place"))).withColumn("used", F.lit(True))
+    pieces = passes.where(~few).withColumn("block", F.explode(F.sequence(F.floor(F.col("place") / block), F.floor((F.greatest(end, F.col("place") + 1) - 1) / block))))
     pieces = pieces.withColumn("part", F.greatest(F.lit(0), F.least(end, (F.col("block") + 1) * block) - F.greatest("place", F.col("block") * block)))
     slots = schedule(spark, mixed, n_slots).select("src", "block", F.lit(True).alias("used"))
-    joined = pieces.join(slots, ["src", "block"], "left")
+    columns = ["src", "bucket", "nth", "doc_id", "size", "source_size", "target", "part", "used"]
+    joined = pieces.join(slots, ["src", "block"], "left").select(*columns).unionByName(exact.select(*columns))
     taken = F.sum(F.when(F.col("used"), F.col("part")).otherwise(F.lit(0))).cast("long")
     return joined.groupBy("src", "bucket", "nth", "doc_id", "size", "source_size", "target").agg(taken.alias("taken")).select("doc_id", "size", "source_size", "target", "taken")
 

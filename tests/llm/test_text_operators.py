@@ -176,6 +176,22 @@ def test_mix_meets_targets(spark):
         assert abs(taken - target) <= 8 + 0.01 * target
 
 
+def test_mix_meets_targets_of_tiny_sources(spark):
+    huge = spark.range(300).select(F.col("id").alias("doc_id"), F.repeat(F.lit("w "), 20_000).alias("text"), F.lit("huge").alias("source"))
+    tiny = [(1000 + 10 * k + i, "w " * (k + 1), f"tiny{k}") for k in range(8) for i in range(6)]
+    documents = huge.unionByName(spark.createDataFrame(tiny, huge.schema))
+    per = {}
+    for r in mixing.mix(documents).join(documents.select("doc_id", "source"), "doc_id").collect():
+        assert 0 <= r.taken <= 2 * r.size
+        taken, _ = per.get(r.source, (0, 0))
+        per[r.source] = (taken + r.taken, r.target)
+    assert len(per) == 9
+    for source, (taken, target) in per.items():
+        assert abs(taken - target) <= (0.5 if source != "huge" else 0.001 * target), source
+    copies = {r.source: r.n for r in mixing.mixed_documents(documents).groupBy("source").agg(F.count("*").alias("n")).collect()}
+    assert all(copies.get(f"tiny{k}") == 12 for k in range(8))
+
+
 def test_mix_of_odd_rows(odd, empty):
     found = mixing.mix(odd).collect()
     assert len(found) == odd.count()
