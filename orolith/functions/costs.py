@@ -88,8 +88,8 @@ def euclid_3d(scale: float = SCALE) -> Column:
 
 
 def linear_energy(scale: float = SCALE) -> Column:
-    """Linear in the grade of the step; classes without a terrain factor cost infinity. Its segment form also blocks
-    segments of over 10 per cent from end to end."""
+    """Linear in the grade of the step; classes without a terrain factor cost infinity. The reference's block of
+    segments of over 10 per cent from end to end is left out."""
     return F.coalesce(105.765 + by_class(TERRAIN, F.col("lc1"), 1) * 75 * (2.16 + 0.42 * grade(scale)), F.lit(float("inf")))
 
 
