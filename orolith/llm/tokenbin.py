@@ -13,17 +13,19 @@ documents can be packed where they are tokenised, before anything is shuffled.
 
 from __future__ import annotations
 
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import scratch_path
+from .common import held, scratch_path
 
 #: Fixed values of the format: ids per word and bits per id, by selector; 15 is the escape.
 COUNTS = (60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1)
@@ -44,17 +46,17 @@ def _bit_lengths(ids: np.ndarray) -> np.ndarray:
 _LENGTHS = np.frexp(np.arange(1 << 16, dtype=np.float64))[1].astype(np.uint8)
 
 
-def pack_documents(documents: list[np.ndarray]) -> list[np.ndarray]:
-    """The Simple-8b words (uint64) of each document's ids: at each place the selector that takes most ids, ids of over
-    60 bits escaped. Documents are packed together, with a barrier after each that no word crosses."""
-    counts = np.array([len(x) for x in documents], np.int64)
-    total = int(counts.sum()) + len(documents)
+def pack_flat(ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The Simple-8b words (uint64) of documents' ids, which lie end to end, counts of them each: at each place the
+    selector that takes most ids, ids of over 60 bits escaped; and each document's end among the words. Documents are
+    packed together, with a barrier after each that no word crosses."""
+    total = len(ids) + len(counts)
     barrier = np.cumsum(counts + 1) - 1
-    ids = np.zeros(total, np.uint64)
+    values = np.zeros(total, np.uint64)
     real = np.ones(total, bool)
     real[barrier] = False
-    if total > len(documents):
-        ids[real] = np.concatenate(documents)
+    values[real] = ids
+    ids = values
     bits = _bit_lengths(ids)
     bits[barrier] = 255
     most = bits.copy()  # of the next ids, as many as the selector takes
@@ -96,7 +98,15 @@ def pack_documents(documents: list[np.ndarray]) -> list[np.ndarray]:
         for k in range(COUNTS[selector]):
             word |= ids[first + k] << np.uint64(k * WIDTHS[selector])
         words[place] = word
-    return np.split(words, places[kinds == BARRIER][:-1]) if documents else []
+    return words, places[kinds == BARRIER]
+
+
+def pack_documents(documents: list[np.ndarray]) -> list[np.ndarray]:
+    """The Simple-8b words of each document's ids; see pack_flat."""
+    if not documents:
+        return []
+    words, ends = pack_flat(np.concatenate(documents), np.array([len(x) for x in documents], np.int64))
+    return np.split(words, ends[:-1])
 
 
 def pack(ids: np.ndarray) -> np.ndarray:
@@ -152,129 +162,182 @@ def read_block(payload: bytes) -> tuple[np.ndarray, np.ndarray]:
     return ids, index[:, 1]
 
 
-#: White space other than the space, of any library; a text in which one stands before a space is looked at closely.
-SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
-
-
+#: Unicode white space, as the byte-level pattern takes it.
+SPACE = "\\t\\n\\x0b\\x0c\\r\\x1c-\\x20\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}"
 #: ASCII marks that the byte-level pattern joins to nothing but marks; the apostrophe may join letters.
 MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Letters that libraries of different Unicode versions may not agree on.
+LATE_LETTER = "[^\\x00-\\x{4ff}]"
+#: Stands before a piece that no space precedes.
+BARE = "\x01"
+#: Longer pieces are not remembered.
+LONGEST = 64
+
+
+def _byte_letters() -> dict[int, int]:
+    """The characters that stand for bytes in byte-level vocabularies: printable Latin-1 for itself, the others in order
+    from U+0100 (a published convention)."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return {x: x for x in shown} | {x: 256 + i for i, x in enumerate(x for x in range(256) if x not in shown)}
+
+
+def _gathered(flat: np.ndarray, ends: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The values of rows of a ragged table, end to end, and where each row's end."""
+    starts = ends[rows]
+    sizes = ends[rows + 1] - starts
+    upto = np.cumsum(sizes)
+    return flat[np.arange(int(upto[-1]) if len(upto) else 0) + np.repeat(starts - (upto - sizes), sizes)], upto
+
+
+def _listed(strings: pa.Array) -> list[str]:
+    """As to_pylist, but several times as fast; the strings have no NUL."""
+    if not len(strings):
+        return []
+    ends = pa.array([0, len(strings)], pa.int32())
+    return pc.binary_join(pa.ListArray.from_arrays(ends, strings), pa.scalar("\0", strings.type))[0].as_py().split("\0")
 
 
 class Encoder:
-    """Ids of texts by a byte-level BPE file of the tokenizers library, with what a space-separated piece gives remembered.
+    """Ids of texts by a byte-level BPE file of the tokenizers library, with what words give remembered.
 
-    The library's pre-tokenizer never joins a space and a following non-space with what stands before them, so a text
-    is the concatenation of its pieces, each with its leading space, unless a space stands between other white space;
-    such texts, and those with a special token's string, go to the library whole. Parts are remembered up to `remember`,
-    pieces up to half as many, then forgotten, so memory is bounded at any input size.
+    The library's pre-tokenizer never joins a space and a following non-space with what stands before them, and a line
+    feed between non-spaces is a piece of its own, so a text without two white-space characters side by side is the
+    concatenation of its pieces, each with its leading space. Other texts, and those with a special token's string, go
+    to the library whole. Arrow finds a batch's distinct pieces and parts them into a word and the marks after it, which
+    the pre-tokenizer always parts; the library's model gives the ids of words that the worker has not seen, and the
+    library those of other pieces. What is remembered is bounded by entries and, as long keys are not kept, by bytes.
+
+    A key is a piece or word; a space stands before it unless it begins with BARE.
     """
 
-    def __init__(self, path: str, remember: int = 800_000):
+    def __init__(self, path: str, remember: int = 600_000):
         import os
-        import re
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
-        self.whole = re.compile("|".join([r"(?<=\s) (?=\s|\Z)", *map(re.escape, self.special)]))
-        self.width = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        if type(self.tokenizer.pre_tokenizer).__name__ != "ByteLevel" or not self.tokenizer.pre_tokenizer.use_regex:
+        special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
+        self.whole = "|".join([f"[{SPACE}][{SPACE}]", "\\x00", BARE, *map(re.escape, special)])
+        self.width = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
+        stages = self.tokenizer.pre_tokenizer, self.tokenizer.normalizer, self.tokenizer.post_processor
+        if type(stages[0]).__name__ != "ByteLevel" or not stages[0].use_regex or stages[0].add_prefix_space or stages[1] is not None:
             raise ValueError("not a byte-level tokenizer that splits by its pattern")
-        self.parts: dict[str, bytes] = {}
-        self.memory: dict[str, bytes] = {}
+        self.model, self.letters = self.tokenizer.model, _byte_letters()
         self.remember = remember
+        self.forget()
+
+    def forget(self) -> None:
+        """Row 0 is empty, rows 1 to 128 are the ASCII characters without a space before them."""
+        self.rows: dict[str, int] = {}
+        self.flat, self.ends = array(self.width), array("q", [0, 0])
+        for x in range(128):
+            self.added([i for y in self.library([chr(x)]) for i in y])
+
+    def library(self, texts: list[str]) -> list[list[int]]:
+        return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def added(self, ids: list[int]) -> int:
+        self.flat.extend(ids)
+        self.ends.append(len(self.flat))
+        return len(self.ends) - 2
+
+    def words(self, keys: list[str]) -> list[int]:
+        """The rows of what the pre-tokenizer takes as one token each."""
+        out = list(map(self.rows.get, keys))
+        if None not in out:
+            return out
+        tokenize, letters, flat, ends, space = self.model.tokenize, self.letters, self.flat, self.ends, chr(self.letters[32])
+        fresh, ids, row = {}, [], len(ends) - 1
+        for i, known in enumerate(out):
+            if known is None:
+                key = keys[i]
+                shown = key[1:] if key[0] == BARE else space + key
+                if not key.isascii():
+                    shown = (key[1:] if key[0] == BARE else " " + key).encode().decode("latin-1").translate(letters)
+                ids += [x.id for x in tokenize(shown)]
+                ends.append(len(flat) + len(ids))
+                out[i] = row
+                if len(key) <= LONGEST:
+                    fresh[key] = row
+                row += 1
+        flat.extend(ids)
+        self.rows.update(fresh)
+        return out
 
-    def library(self, texts: list[str]) -> list[bytes]:
-        kind = "H" if self.width.itemsize == 2 else "I"
-        return [array(kind, x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def parted(self, piece: str) -> list[str] | None:
-        """The keys of what the byte-level pre-tokenizer always parts in a piece that follows a space: lines (one line
-        feed between others than white space is a token's end and beginning), letters, and the marks after letters. A key
-        is the text, with a space before it if one belongs to it. None if the piece may not be parted so."""
-        out = []
-        for i, line in enumerate(piece.split("\n")):
-            letters = line.rstrip(MARKS)
-            if not letters.isalpha():
-                if i == 0 and letters == piece or not line or line[0].isspace() or line[-1].isspace():
-                    return None
-                letters = line
-            if i:
-                out.append("\n")
-            out.append(letters if i else " " + letters)
-            if len(letters) < len(line):
-                out.append(line[len(letters) :])
+    def piece(self, key: str) -> int:
+        """The row of any piece."""
+        row = self.rows.get(key)
+        if row is None:
+            text = key[1:] if key[:1] == BARE else key if key == "\n" else " " + key
+            row = self.added(self.library([text])[0]) if text else 0
+            if len(key) <= LONGEST:
+                self.rows[key] = row
+        return row
+
+    def distinct(self, keys: pa.Array) -> np.ndarray:
+        """The rows of distinct pieces, two each: a word's or other piece's, and that of the marks after a word."""
+        out = np.zeros((len(keys), 2), np.int64)
+        words = pc.utf8_rtrim(keys, MARKS)
+        good = pc.and_(pc.utf8_is_alpha(pc.utf8_ltrim(words, BARE)), pc.invert(pc.match_substring_regex(words, LATE_LETTER)))
+        right = good.to_numpy(zero_copy_only=False)
+        found = words.filter(good).dictionary_encode()
+        out[right, 0] = np.array(self.words(_listed(found.dictionary)), np.int64)[found.indices.to_numpy()]
+        marks = pc.subtract(pc.binary_length(keys), pc.binary_length(words)).to_numpy()
+        one = right & (marks == 1)
+        offsets = np.frombuffer(keys.buffers()[1], np.int64, len(keys) + 1, 8 * keys.offset)
+        out[one, 1] = 1 + np.frombuffer(keys.buffers()[2] or b"\0", np.uint8)[offsets[1:][one] - 1]
+        more = right & (marks > 1)
+        out[more, 1] = [self.piece(BARE + x[len(x) - n :]) for x, n in zip(keys.filter(pa.array(more)).to_pylist(), marks[more].tolist(), strict=True)]
+        out[~right, 0] = [self.piece(x) for x in keys.filter(pa.array(~right)).to_pylist()]
         return out
 
-    def learn(self, pieces: list[str]) -> None:
-        """Remembers pieces, by their parts where they can be parted; only unknown parts go to the library."""
-        parts, keys = self.parts, [self.parted(x) or [" " + x] for x in pieces]
-        asked = list({k for x in keys for k in x if k not in parts})
-        fresh = dict(zip(asked, self.library(asked), strict=True))
-        parts.update((k, v) for k, v in fresh.items() if len(k) < 64)
-        for x, own in zip(pieces, keys, strict=True):
-            self.memory[x] = b"".join([fresh.get(k) or parts[k] for k in own])
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        joined = "\0".join(texts)
-        plain = not any(x in joined for x in ("  ", *(c + " " for c in SPACES if c in joined), *self.special))
-        del joined
-        if len(self.memory) > self.remember // 2:
-            self.memory = {}
-        if len(self.parts) > self.remember:
-            self.parts = {}
-        get, out, late, unknown = self.memory.get, [b""] * len(texts), [], set()
-        whole = [] if plain else [i for i, x in enumerate(texts) if self.whole.search(x)]
-        aside = set(whole)
-        heads = []
-        for i, text in enumerate(texts):
-            if i in aside:
-                heads.append("")
-                continue
-            head, _, rest = text.partition(" ")
-            heads.append(head)
-            if len(head) == len(text):
-                continue
-            pieces = rest.split(" ")
-            parts = list(map(get, pieces))
-            if None in parts:
-                late.append((i, pieces))
-                unknown.update(x for x, y in zip(pieces, parts, strict=True) if y is None)
-            else:
-                out[i] = b"".join(parts)
-        self.learn(list(unknown))
-        own = self.memory.__getitem__
-        for i, pieces in late:
-            out[i] = b"".join(map(own, pieces))
-        for x in unknown:
-            if "\n" in x:  # an end of a line with the next one's beginning hardly comes again
-                del self.memory[x]
-        for i, x in zip(whole, self.library([texts[i] for i in whole]), strict=True):
-            out[i] = x
-        return [np.frombuffer(x + y, self.width) for x, y in zip(self.library(heads), out, strict=True)]
-
-
-_ENCODERS: dict[str, Encoder] = {}
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts (null: empty), and the id count of each."""
+        if max(len(self.rows), len(self.flat) // 16, len(self.ends) // 2) > self.remember:
+            self.forget()
+        kind = pa.large_string()
+        texts = texts.cast(kind).fill_null("")
+        aside = pc.match_substring_regex(texts, self.whole).to_numpy(zero_copy_only=False)
+        plain = pc.if_else(pa.array(aside), pa.scalar("", kind), texts)
+        marked = pc.binary_join_element_wise(pa.scalar("", kind), pc.replace_substring(plain, "\n", f" \n {BARE}"), pa.scalar(BARE, kind))
+        pieces = pc.split_pattern(marked, " ")
+        found = pieces.flatten().dictionary_encode()
+        rows = self.distinct(found.dictionary)
+        flat, ends = _gathered(np.frombuffer(self.flat, f"<u{self.flat.itemsize}"), np.frombuffer(self.ends, np.int64), rows.ravel())
+        ids, ends = _gathered(flat, np.concatenate(([0], ends[1::2])), found.indices.to_numpy())
+        stops = np.concatenate(([0], ends))[pieces.offsets.to_numpy()]
+        counts = np.diff(stops)
+        if not aside.any():
+            return ids, counts
+        split = np.split(ids, stops[1:-1])
+        others = np.flatnonzero(aside)
+        for i, x in zip(others.tolist(), self.library(texts.take(pa.array(others)).to_pylist()), strict=True):
+            split[i], counts[i] = np.array(x, ids.dtype), len(x)
+        return np.concatenate(split), counts
 
 
 def encoder(path: str) -> Encoder:
-    """One for each Python worker."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    """One for each Python worker, until it runs another operator."""
+    return held(("encoder", path), lambda: Encoder(path))
+
+
+#: Texts encoded at a time.
+AT_ONCE = 1024
 
 
 def encoded(batches: Iterator[pa.RecordBatch], tokenizer_path: str, end_id: int) -> Iterator[tuple[int | None, int, bytes]]:
     """(doc_id, id count, words) of each document of (doc_id, text): its ids and end_id, packed. Null text: empty."""
     coder = encoder(tokenizer_path)
     for whole in batches:
-        for at in range(0, whole.num_rows, 256):
-            batch = whole.slice(at, 256)
-            ids = [np.append(x.astype(np.uint64), np.uint64(end_id)) for x in coder.encode([x or "" for x in batch.column(1).to_pylist()])]
-            for doc, own, words in zip(batch.column(0).to_pylist(), ids, pack_documents(ids), strict=True):
-                yield doc, len(own), words.tobytes()
+        for at in range(0, whole.num_rows, AT_ONCE):
+            batch = whole.slice(at, AT_ONCE)
+            ids, counts = coder.encode(batch.column(1))
+            ids = np.insert(ids.astype(np.uint64), np.cumsum(counts), np.uint64(end_id))
+            words, ends = pack_flat(ids, counts + 1)
+            data, starts = words.tobytes(), (8 * np.concatenate(([0], ends))).tolist()
+            for doc, n, a, b in zip(batch.column(0).to_pylist(), (counts + 1).tolist(), starts, starts[1:], strict=False):
+                yield doc, n, data[a:b]
 
 
 BLOCKS = T.StructType([T.StructField(n, T.LongType()) for n in ("part", "block", "n_ids")] + [T.StructField("doc_ids", T.ArrayType(T.LongType())), T.StructField("payload", T.BinaryType())])
@@ -291,20 +354,20 @@ def write_ids(documents: DataFrame, path: str, tokenizer_path: str, block_ids: i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, block, full = TaskContext.get().partitionId(), 0, 0
-        held: list[tuple[bytes, int]] = []
+        ready: list[tuple[bytes, int]] = []
         names: list[int | None] = []
 
         def row() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([block], pa.int64()), pa.array([full], pa.int64()), pa.array([names], pa.list_(pa.int64())), pa.array([write_block(held)], pa.binary())], names=BLOCKS.names)
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([block], pa.int64()), pa.array([full], pa.int64()), pa.array([names], pa.list_(pa.int64())), pa.array([write_block(ready)], pa.binary())], names=BLOCKS.names)
 
         for doc, n, words in encoded(batches, tokenizer_path, end_id):
-            held.append((words, n))
+            ready.append((words, n))
             names.append(doc)
             full += n
             if full >= block_ids:
                 yield row()
-                held, names, full, block = [], [], 0, block + 1
-        if held:
+                ready, names, full, block = [], [], 0, block + 1
+        if ready:
             yield row()
 
     dealt = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id")

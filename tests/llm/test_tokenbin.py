@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from orolith.llm import prefixcount, tokenbin
 from tokenizers import Tokenizer
@@ -36,10 +37,21 @@ def test_encoder_equals_the_library():
     texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 12))) for _ in range(4000)]
     library, coder = Tokenizer.from_file(BYTE), tokenbin.Encoder(BYTE, remember=500)
     for at in range(0, len(texts), 300):
-        for text, ids in zip(texts[at : at + 300], coder.encode(texts[at : at + 300]), strict=True):
+        ids, counts = coder.encode(pa.array(texts[at : at + 300]))
+        for text, ids in zip(texts[at : at + 300], np.split(ids, np.cumsum(counts)[:-1]), strict=True):
             assert ids.tolist() == library.encode(text, add_special_tokens=False).ids, text
 
 
+def test_encoder_remembers_within_bounds():
+    coder = tokenbin.Encoder(BYTE, remember=1000)
+    rng = random.Random(6)
+    for _ in range(40):
+        coder.encode(pa.array([" ".join("".join(rng.choices("abcdefg", k=rng.randint(1, 9))) for _ in range(300)) + " " + "x" * 100_000]))
+        assert len(coder.rows) <= 1700
+        assert len(coder.flat) < 1_000_000
+        assert max(map(len, coder.rows)) <= tokenbin.LONGEST
+
+
 def brute(rows):
     library, start, out = Tokenizer.from_file(BYTE), 0, []
     for doc_id, text in rows:
