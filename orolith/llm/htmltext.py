@@ -121,7 +121,7 @@ def blocks(node: Node) -> list[str]:
         text = " ".join("".join(held).split())
         if text:
             out.append(text)
-        held.clear()
+        del held[:]
 
     stack: list[tuple[Node, int]] = [(node, 0)]
     while stack:

@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import held
+
 #: Bounds of the model: languages (bits of a slot), training documents for each, n-grams for each, slots, hashes.
 MOST_LANGUAGES = 64
 PER_LANGUAGE = 600
@@ -26,27 +28,22 @@ SIZES = (2, 3, 4)
 #: An n-gram belongs to a language if its share there is at least so much of its greatest share in any.
 BELONGS = 0.4
 
-_CLASS: dict[str, np.ndarray] = {}
-
-
 def _letters() -> np.ndarray:
     """For each code point its lower-case letter, 0 if it is no letter."""
-    if not _CLASS:
-        points = np.zeros(0x110000, np.uint32)
-        for x in range(0x110000):
-            c = chr(x)
-            if c.isalpha():
-                low = c.lower()
-                points[x] = ord(low) if len(low) == 1 else x
-        _CLASS["letters"] = points
-    return _CLASS["letters"]
+    points = np.zeros(0x110000, np.uint32)
+    for x in range(0x110000):
+        c = chr(x)
+        if c.isalpha():
+            low = c.lower()
+            points[x] = ord(low) if len(low) == 1 else x
+    return points
 
 
 def grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes (uint64) of the n-grams of all texts, within words and over their edges, and the text of each."""
     joined = "\n".join(x or "" for x in texts) + "\n"
     points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "<u4")
-    letters = _letters()[np.minimum(points, 0x10FFFF)]
+    letters = held("letters", _letters)[np.minimum(points, 0x10FFFF)]
     lengths = np.array([len(x or "") + 1 for x in texts])
     owner = np.repeat(np.arange(len(texts)), lengths)
     keep = np.concatenate(([False], (letters[1:] != 0) | (letters[:-1] != 0)))  # one edge after each word

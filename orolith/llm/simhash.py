@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stable
+from .common import claim, stable
 
 SEED = 42
 RADIUS = 3
@@ -52,6 +52,7 @@ def fingerprints(documents: DataFrame, shingle: int = 3) -> DataFrame:
     """(doc_id, fp) of each document of (doc_id, text); fp is the fingerprint as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("simhash")
         for batch in batches:
             fps = np.array([fingerprint(x, shingle) for x in batch.column(1).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(fps.view(np.int64), pa.int64())], names=["doc_id", "fp"])

@@ -1,3 +1,4 @@
+import random
 import hashlib
 import itertools
 import re
@@ -271,6 +272,29 @@ def test_proximity(spark):
 # fingerprints
 
 
+def leafwise(a, b):
+    """Likeness by whole leaves of the texts, without trees: what equal branches cover is made of equal leaves."""
+    from collections import Counter
+
+    own = [Counter(leaf for paragraph in x.splitlines(keepends=True) for leaf in merkle._leaves(paragraph)) for x in (a, b)]
+    shared = sum(len(x) * n for x, n in (own[0] & own[1]).items())
+    return 1.0 if a == b else 2 * shared / (len(a) + len(b))
+
+
+def test_merkle_likeness_and_edits_equal_leaf_counts():
+    rng = random.Random(9)
+    for _ in range(300):
+        lines = [" ".join(rng.choice(["ab.", "cd", "ef!", "gh. ij", "k" * 500]) for _ in range(rng.randint(0, 6))) for _ in range(rng.randint(0, 12))]
+        a = "\n".join(lines)
+        for _ in range(rng.randint(0, 3)):
+            lines.insert(rng.randint(0, len(lines)), rng.choice(["new line.", "", "ab."]))
+        b = "\n".join(lines)
+        trees = [merkle.Tree.unpacked(merkle.Tree(x).packed()) for x in (a, b)]
+        assert merkle.likeness(*trees) == pytest.approx(leafwise(a, b))
+        apart = {s: sum(stop - start for t, start, stop in merkle.edits(*trees) if t == s) for s in "-+"}
+        assert (len(a) - apart["-"], len(b) - apart["+"]) == (len(b) - apart["+"],) * 2 or not (a or b)
+
+
 def test_merkle_trees():
     text = "One. Two two!\nThree three three? Four\n\nFive."
     assert merkle.Tree(text).root == merkle.Tree(text).root != merkle.Tree(text + " ").root
@@ -280,11 +304,13 @@ def test_merkle_trees():
     long = "".join(f"Sentence {i} of many.\n" for i in range(200))
     other = long.replace("Sentence 77 ", "Changed 77 ")
     assert 0.98 < merkle.likeness(merkle.Tree(long), merkle.Tree(other)) < 1
-    (sign, a, b), (_, c, d) = merkle.edits(long, other)
+    (sign, a, b), (_, c, d) = merkle.edits(merkle.Tree(long), merkle.Tree(other))
     assert sign == "-" and "Sentence 77" in long[a:b] and "Changed 77" in other[c:d] and b - a < 40
-    assert merkle.edits(long, long) == []
+    assert merkle.edits(merkle.Tree(long), merkle.Tree(long)) == []
     for x in (text, "word " * 5000, "x" * 10_000, "", "no end"):
-        assert sum(n for _, s in merkle.Tree(x).sections for _, n in s) == len(x)
+        tree = merkle.Tree(x)
+        again = merkle.Tree.unpacked(tree.packed())
+        assert (again.root, again.sections, again.size()) == (tree.root, tree.sections, len(x))
 
 
 def test_neighbours_equal_brute_force(spark, odd, empty):
@@ -296,7 +322,7 @@ def test_neighbours_equal_brute_force(spark, odd, empty):
         half = len(own) // 2
         changed = own[: len(own) - half] + after[:half]
         trees = merkle.Tree(own), merkle.Tree(changed), merkle.Tree(after)
-        want[r.doc_id] = (r.doc_id, len(own), hashlib.sha256(changed.encode()).hexdigest(), trees[0].root, trees[1].root, merkle.likeness(trees[0], trees[1]), merkle.likeness(trees[0], trees[2]))
+        want[r.doc_id] = (r.doc_id, len(own), hashlib.sha256(changed.encode()).hexdigest(), trees[0].root, trees[1].root, merkle.likeness(trees[0], trees[1]), merkle.likeness(trees[0], trees[2]), trees[0].packed())
     got = {r.doc_id: tuple(r) for r in merkle.compare_with_next(odd.where("doc_id is not null").dropDuplicates(["doc_id"])).collect()}
     assert got == want
     assert merkle.compare_with_next(odd).count() == odd.count()

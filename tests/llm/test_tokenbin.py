@@ -99,6 +99,20 @@ def test_prefix_counts_are_exact():
             assert all(n(text[:k]) > budget for k in range(end + 1, len(text) + 1))
 
 
+@pytest.mark.parametrize("letter", ["a", "日", "aB9_", "é"])
+def test_long_spaceless_texts_fit(letter):
+    import time
+
+    counter, library, text = prefixcount.PrefixCounter(WORD), Tokenizer.from_file(WORD), letter * 1_000_000
+    n = lambda x: len(library.encode(x, add_special_tokens=False).ids)
+    table = counter.tables([text])[0]
+    began = time.process_time()
+    end = counter.fit(text, table, 2048)
+    assert time.process_time() - began < 60
+    assert n(text[:end]) <= 2048 < n(text[: end + 1])
+    assert sum(map(len, counter.memory)) < 10_000
+
+
 def test_token_counts(odd, empty):
     library = Tokenizer.from_file(WORD)
     texts = {}
