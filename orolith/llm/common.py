@@ -32,9 +32,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary folder where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or, where it is unset, the session's checkpoint
+    folder or a temporary one, the latter in local mode only: on a cluster its executors would write elsewhere."""
     sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    if configured is None and sc.getCheckpointDir() is None and not sc.master.startswith("local[") and sc.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="orolith-checkpoints-"))
     return configured or sc.getCheckpointDir()
@@ -44,6 +47,17 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each lengthened until no column of df has it, for inner columns beside a user's."""
+    taken, out = {x.lower() for x in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def stable(df: DataFrame) -> DataFrame:
     """The rows of df, computed once and kept in the shared folder, so that lost executors cost no recomputation."""
     shared_dir(df.sparkSession)

@@ -261,7 +261,8 @@ def host_paths(pages: DataFrame) -> DataFrame:
 
 def main_text(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of each page of (page_id, url, html). Null html gives the empty text; repeated rows
-    give the same text each and vote each."""
+    give the same text each and vote each; extra columns, whatever their names, are not read; an empty table gives no rows;
+    a page costs time and memory in proportion to its length."""
     from .common import stable
 
     winners = stable(host_paths(pages))
@@ -272,5 +273,6 @@ def main_text(pages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(1).cast(pa.string()), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     small = winners.limit(MOST_HOSTS + 1).count() <= MOST_HOSTS
-    joined = pages.withColumn("of_host", host(F.col("url"))).join(F.broadcast(winners) if small else winners, F.col("of_host") == F.col("host"), "left")
+    kept = pages.select("page_id", "url", "html")
+    joined = kept.withColumn("of_host", host(F.col("url"))).join(F.broadcast(winners) if small else winners, F.col("of_host") == F.col("host"), "left")
     return joined.select("page_id", "url", "html", "paths").mapInArrow(run, "page_id long, url string, text string, n_chars long")

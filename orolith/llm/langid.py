@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import held
+from .common import fresh, held
 
 #: Bounds of the model: languages (bits of a slot), training documents for each, n-grams for each, slots, hashes.
 MOST_LANGUAGES = 64
@@ -156,13 +156,14 @@ def train(documents: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     return Model(languages, masks, max(range(len(languages)), key=lambda i: counts[languages[i]]))
 
 
-def identify(documents: DataFrame, model: Model) -> DataFrame:
-    """The columns of documents (needs text) with lang_pred, score and coverage.
+def identify(documents: DataFrame, model: Model, names: tuple[str, str, str] = ("lang_pred", "score", "coverage")) -> DataFrame:
+    """The columns of documents (needs text) with lang_pred, score and coverage, or other names for them.
 
     `und` with score 0 is for null texts and texts without a letter, and for all if nothing was learned; a lettered text
-    without any known n-gram gets the most frequent language, with score 0. Predictions see the text only. The columns
-    lang_pred, score and coverage of the input are replaced."""
-    documents = documents.drop("lang_pred", "score", "coverage")
+    without any known n-gram gets the most frequent language, with score 0. Predictions see the text only. Input columns
+    of these names are replaced. Repeated rows get the same result each, an empty table gives no rows, and a text costs
+    time and memory in proportion to its length."""
+    documents = documents.drop(*names)
     at = documents.columns.index("text")
     shared = documents.sparkSession.sparkContext.broadcast(model)  # SLOTS masks of 8 bytes, whatever the input
 
@@ -170,12 +171,12 @@ def identify(documents: DataFrame, model: Model) -> DataFrame:
         for whole in batches:
             for start in range(0, whole.num_rows, 128):
                 batch = whole.slice(start, 128)
-                names, score, coverage = shared.value.predict(batch.column(at).to_pylist())
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(score), pa.array(coverage)], names=[*batch.schema.names, "lang_pred", "score", "coverage"])
+                found, score, coverage = shared.value.predict(batch.column(at).to_pylist())
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string()), pa.array(score), pa.array(coverage)], names=[*batch.schema.names, *names])
 
     from pyspark.sql import types as T
 
-    added = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("coverage", T.DoubleType())]
+    added = [T.StructField(n, t) for n, t in zip(names, (T.StringType(), T.DoubleType(), T.DoubleType()), strict=True)]
     return documents.mapInArrow(run, T.StructType([*documents.schema.fields, *added]))
 
 
@@ -184,6 +185,7 @@ LEAST_COVERAGE = 0.02
 
 
 def accepted(documents: DataFrame, model: Model) -> DataFrame:
-    """The rows of documents with an identified language."""
-    found = identify(documents, model)
-    return found.where((F.col("lang_pred") != UNDETERMINED) & (F.col("coverage") >= LEAST_COVERAGE)).select(*documents.columns)
+    """The rows of documents with an identified language, their columns untouched, whatever their names."""
+    names = fresh(documents, "lang_pred", "score", "coverage")
+    found = identify(documents, model, tuple(names))
+    return found.where((F.col(names[0]) != UNDETERMINED) & (F.col(names[2]) >= LEAST_COVERAGE)).select(*documents.columns)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import stable, token_count
+from .common import fresh, stable, token_count
 
 #: Weights of sources in code-point order, repeating.
 WEIGHTS = (3, 1, 2)
@@ -104,8 +104,10 @@ def mix(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
 
 def mixed_documents(documents: DataFrame, **options) -> DataFrame:
     """documents as the mix takes them: each row as often as its taken words are of its size, to the nearest whole
-    number; a document without words stays once. Rows that share a doc_id are repeated by their common share."""
+    number; a document without words stays once. Rows that share a doc_id are repeated by their common share. The columns
+    are untouched, whatever their names; an empty table gives no rows."""
+    own, copies_of, nth = fresh(documents, "mixed_id", "mixed_copies", "mixed_nth")
     shares = mix(documents, **options).groupBy("doc_id").agg(F.sum("size").alias("sizes"), F.sum("taken").alias("takes"))
-    copies = shares.select(F.col("doc_id").alias("mixed_id"), F.when(F.col("sizes") > 0, F.floor(F.col("takes") / F.col("sizes") + 0.5)).otherwise(F.lit(1)).alias("copies")).where("copies > 0")
-    joined = documents.join(copies, F.col("doc_id").eqNullSafe(F.col("mixed_id")))
-    return joined.withColumn("nth", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*documents.columns)
+    copies = shares.select(F.col("doc_id").alias(own), F.when(F.col("sizes") > 0, F.floor(F.col("takes") / F.col("sizes") + 0.5)).otherwise(F.lit(1)).alias(copies_of)).where(F.col(copies_of) > 0)
+    joined = documents.join(copies, F.col("doc_id").eqNullSafe(F.col(own)))
+    return joined.withColumn(nth, F.explode(F.sequence(F.lit(1), F.col(copies_of)))).select(*documents.columns)

@@ -18,15 +18,21 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import claim, stable
+from .common import claim, fresh, stable
 
 SEED = 42
 RADIUS = 3
 
 
+def text_tie() -> Column:
+    """With doc_id it names a document; rows that share both are equal."""
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
 def fingerprint(text: str | None, shingle: int = 3) -> int:
     """The 64-bit SimHash: A-Z lower-cased, words between ASCII white space, word shingles with repeats, XXH64 with
     seed 42; a bit is set if over half the hashes have it. Texts of fewer words are one shingle; without words: 0."""
@@ -49,15 +55,17 @@ _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder=
 
 
 def fingerprints(documents: DataFrame, shingle: int = 3) -> DataFrame:
-    """(doc_id, fp) of each document of (doc_id, text); fp is the fingerprint as a signed long."""
+    """(doc_id, tie, fp) of each document of (doc_id, text), of any type of doc_id; tie is the text's hash, fp the
+    fingerprint as a signed long. A text costs time and memory in proportion to its length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("simhash")
         for batch in batches:
             fps = np.array([fingerprint(x, shingle) for x in batch.column(1).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(fps.view(np.int64), pa.int64())], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(fps.view(np.int64), pa.int64())], names=["doc_id", "tie", "fp"])
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+    kept = documents.select("doc_id", "text", text_tie().alias("tie"))
+    return kept.mapInArrow(run, T.StructType([kept.schema["doc_id"], T.StructField("tie", T.LongType()), T.StructField("fp", T.LongType())]))
 
 
 def _children(rest: np.ndarray, bits: int, blocks: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -219,29 +227,35 @@ def near_duplicates(documents: DataFrame, shingle: int = 3, radius: int = RADIUS
     """
     own = stable(fingerprints(documents, shingle))
     groups = stable(own.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    return named(own, hamming_links(groups, radius, leaf), groups)
+    return named(own, hamming_links(groups, radius, leaf), groups).select("doc_id", "fingerprint", "component_id")
 
 
 def named(own: DataFrame, links: DataFrame, groups: DataFrame | None = None) -> DataFrame:
-    """(doc_id, fingerprint, component_id) of (doc_id, fp) by links between fps; groups, if at hand, has each fp's least
-    doc_id."""
+    """(doc_id, tie, fingerprint, component_id, root) of (doc_id, tie, fp) by links between fps; groups, if at hand, has each
+    fp's least doc_id. root, the least fp, tells components apart even if documents of several share their least doc_id."""
     if groups is None:
         groups = stable(own.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = components(links)
     placed = groups.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     names = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = placed.join(names, "root").select("fp", "component_id")
-    return own.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    named = placed.join(names, "root").select("fp", "component_id", "root")
+    return own.join(named, "fp").select("doc_id", "tie", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "root")
 
 
-def deduplicate(documents: DataFrame, **options) -> DataFrame:
-    """One row of each component of near_duplicates: that of the smallest doc_id, null only if no row of it has an id.
-    Of rows that share that id one stays."""
-    return first_of_each(documents, near_duplicates(documents, **options))
+def deduplicate(documents: DataFrame, shingle: int = 3, radius: int = RADIUS) -> DataFrame:
+    """One row of each component of near_duplicates; see first_of_each."""
+    own = stable(fingerprints(documents, shingle))
+    groups = stable(own.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    return first_of_each(documents, named(own, hamming_links(groups, radius), groups))
 
 
 def first_of_each(documents: DataFrame, found: DataFrame) -> DataFrame:
-    """The rows of documents whose doc_id names a component of found, one each."""
-    kept = stable(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct())
-    joined = documents.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
-    return joined.dropDuplicates(["doc_id"])
+    """One row of documents for each root of found (doc_id, tie, root): that of the smallest doc_id, null only if no row has
+    an id, then of the smallest text hash. Different texts that share a doc_id are told apart; of rows that share both one
+    stays. Columns are untouched, whatever their names."""
+    own, kept_id, kept_tie = fresh(documents, "dedup_tie", "dedup_id", "dedup_kept")
+    least = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie")).alias("x"))
+    kept = stable(least.select(F.col("x.doc_id").alias(kept_id), F.col("x.tie").alias(kept_tie)))
+    tied = documents.withColumn(own, text_tie())
+    joined = tied.join(kept, F.col("doc_id").eqNullSafe(F.col(kept_id)) & (F.col(own) == F.col(kept_tie)), "left_semi")
+    return joined.dropDuplicates(["doc_id", own]).select(*documents.columns)
