@@ -1,9 +1,10 @@
-"""Benchmark decontamination by a positional inverted index over training tokens.
+"""Benchmark decontamination by a stored positional inverted index over training tokens.
 
-The index has a posting (term, document, position) for each training word that is a term of the items. Phrases are
-looked up from their rarest terms: the rarest term's postings, shifted by its offset in the phrase, are places where the
-phrase may start; the second rarest term's shifted postings must meet them, and what is left is compared word by word.
-A document's words lie in its own row, so lists of one document meet there and only matches are shuffled.
+The index is a Parquet table in the shared folder: a posting (term, doc_id, tie, pos) for each training word that is a term
+of the items, written once for each call. A phrase is looked up from its rarest term: that list, shifted by the term's offset
+in the phrase, gives places where the phrase may start, and these are intersected with the shifted lists of the phrase's
+other terms, the second rarest first. Lists meet by (term, document, position), so a frequent term is spread over all
+tasks, and only documents that the rarest two terms leave are looked up further.
 """
 
 from __future__ import annotations
@@ -12,11 +13,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, ascii_lower, stable
+from .common import WORD, ascii_lower, fresh, scratch_path, stable
 
 WIDTH = 10
-#: A table of phrases is broadcast up to so many rows of about 300 bytes; beyond, the join deals both sides by term.
-MOST_BROADCAST = 200_000
+#: A table is broadcast up to so many bytes by its own measure; beyond, the join deals both sides by its keys.
+MOST_BROADCAST = 32 << 20
+PLACE = ["doc_id", "tie", "start"]
 
 
 def words_of(text: Column) -> Column:
@@ -37,57 +39,76 @@ def phrases(items: DataFrame, width: int = WIDTH) -> DataFrame:
     return cut.select("item_id", F.slice("words", F.col("at"), F.lit(width)).alias("phrase")).groupBy("phrase").agg(F.collect_set("item_id").alias("items"))
 
 
-def _sized(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= MOST_BROADCAST else df
+def _sized(df: DataFrame) -> DataFrame:
+    """df, marked for broadcast if its rows take few bytes together, as measured."""
+    width = lambda c, t: F.coalesce(F.octet_length(F.to_json(F.struct(c)) if t.startswith(("array", "struct")) else F.col(c).cast("string")), F.lit(0))
+    total = df.select(F.sum(sum((width(c, t) for c, t in df.dtypes), F.lit(64))).alias("n")).first()["n"] or 0
+    return F.broadcast(df) if total <= MOST_BROADCAST else df
 
 
-def postings(documents: DataFrame, terms: DataFrame, n_terms: int, keep_words: bool = False) -> DataFrame:
-    """(term, doc_id, tie, pos[, words]): a posting for each word of documents that is in terms (term, ...)."""
-    worded = documents.select("doc_id", _tie(F.col("text")).alias("tie"), words_of(F.col("text")).alias("words"))
-    each = worded.select("doc_id", "tie", *(["words"] if keep_words else []), F.posexplode("words").alias("pos", "term"))
-    return each.join(_sized(terms, n_terms), "term")
+def index(documents: DataFrame, terms: DataFrame) -> DataFrame:
+    """Writes and reads (term, doc_id, tie, pos): a posting for each word of (doc_id, text) that is in terms (term)."""
+    spark = documents.sparkSession
+    worded = documents.select("doc_id", _tie(F.col("text")).alias("tie"), F.posexplode(words_of(F.col("text"))).alias("pos", "term"))
+    path = scratch_path(spark, "postings")
+    worded.join(_sized(terms), "term").select("term", "doc_id", "tie", "pos").write.parquet(path)
+    return spark.read.parquet(path)
 
 
-def anchors(found: DataFrame, documents: DataFrame) -> tuple[DataFrame, int]:
-    """Adds to phrases their two rarest terms over all documents, with offsets: (phrase, items, term, offset, second,
-    second_offset); of equally rare terms the first. A phrase of one word has it twice. Also gives the phrase count."""
-    n = found.count()
-    offsets = found.select("phrase", F.posexplode("phrase").alias("offset", "term"))
-    terms = stable(offsets.select("term").distinct())
-    counts = stable(postings(documents, terms, terms.count()).groupBy("term").agg(F.count("*").alias("n")))
-    ranked = offsets.join(counts, "term", "left").groupBy("phrase").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "offset", "term"))).alias("ranked"))
-    first, second = F.col("ranked")[0], F.element_at("ranked", F.least(F.lit(2), F.size("ranked")))
-    chosen = ranked.where(first["n"] > 0).select("phrase", first["term"].alias("term"), first["offset"].alias("offset"), second["term"].alias("second"), second["offset"].alias("second_offset"))
-    return stable(found.join(chosen, "phrase")), n
+def _ranked(offsets: DataFrame, postings: DataFrame, by: str) -> DataFrame:
+    """offsets (by, term, offset) with each row's rank, from 1, by how rare its term is in postings; ties by offset."""
+    counts = postings.groupBy("term").agg(F.count("*").alias("n"))
+    rarest = W.partitionBy(by).orderBy("n", "offset")  # at most an item's words to a group
+    return offsets.join(counts, "term", "left").withColumn("n", F.coalesce("n", F.lit(0))).withColumn("rank", F.row_number().over(rarest))
 
 
 def phrase_matches(documents: DataFrame, found: DataFrame) -> DataFrame:
-    """(doc_id, tie, start, stop, items): each place of documents where a phrase of found (phrase, items) stands."""
-    index, n = anchors(stable(found), documents)
-    start = F.col("pos") - F.col("offset")
-    near = postings(documents, index, n, keep_words=True).where((start >= 0) & (start + F.size("phrase") <= F.size("words")))
-    near = near.where(F.get("words", start + F.col("second_offset")) == F.col("second"))
-    exact = near.where(F.slice("words", F.greatest(start + 1, F.lit(1)), F.size("phrase")) == F.col("phrase"))
-    return exact.select("doc_id", "tie", start.alias("start"), (start + F.size("phrase")).alias("stop"), "items")
+    """(doc_id, tie, start, stop, items): each place of documents where a phrase of found (phrase, items) stands; rows that
+    share doc_id and text share their places."""
+    named = stable(found.withColumn("phrase_id", F.xxhash64("phrase")))
+    if named.count() != named.select("phrase_id").distinct().count():  # two phrases with one hash
+        named = stable(named.drop("phrase_id").withColumn("phrase_id", F.monotonically_increasing_id()))
+    offsets = named.select("phrase_id", F.posexplode("phrase").alias("offset", "term"))
+    postings = index(documents, offsets.select("term").distinct())
+    order = stable(_ranked(offsets, postings, "phrase_id"))
+    # phrases with a term that no document has go at once
+    absent = order.where("n = 0").select("phrase_id").distinct()
+    order = stable(order.join(absent, "phrase_id", "left_anti"))
+    lists = lambda where: _sized(order.where(where).select("phrase_id", "term", "offset"))
+    shifted = lambda where, of: of.join(lists(where), "term").select("phrase_id", "doc_id", "tie", (F.col("pos") - F.col("offset")).alias("start")).where("start >= 0")
+    key = lambda a, b: (a["phrase_id"] == b["phrase_id"]) & a["doc_id"].eqNullSafe(b["doc_id"]) & (a["tie"] == b["tie"]) & (a["start"] == b["start"])
+    near = shifted("rank = 1", postings).distinct()
+    second = shifted("rank = 2", postings)
+    single = order.groupBy("phrase_id").agg(F.max("rank").alias("n_terms"))
+    left = stable(near.join(second, key(near, second), "left_semi").unionByName(near.join(_sized(single.where("n_terms = 1").select("phrase_id")), "phrase_id", "left_semi")))
+    places = left.select("doc_id", "tie").distinct()
+    rest = postings.join(places, postings["doc_id"].eqNullSafe(places["doc_id"]) & (postings["tie"] == places["tie"]), "left_semi")
+    others = rest.join(lists("rank > 2"), "term").select("phrase_id", "doc_id", "tie", (F.col("pos") - F.col("offset")).alias("start"), "offset")
+    met = others.join(left, key(others, left), "left_semi").groupBy("phrase_id", *PLACE).agg(F.count_distinct("offset").alias("met"))
+    wanted = single.where("n_terms > 2")
+    whole = met.join(_sized(wanted), "phrase_id").where("met = n_terms - 2").select("phrase_id", *PLACE)
+    short = left.join(_sized(single.where("n_terms <= 2").select("phrase_id")), "phrase_id", "left_semi").select("phrase_id", *PLACE)
+    exact = whole.unionByName(short).join(_sized(named.select("phrase_id", F.size("phrase").alias("width"), "items")), "phrase_id")
+    return exact.select("doc_id", "tie", "start", (F.col("start") + F.col("width")).alias("stop"), "items")
 
 
 def proximity_matches(documents: DataFrame, items: DataFrame, terms: int = 3, span: int = 20) -> DataFrame:
     """(doc_id, tie, item_id, start, stop): places where the `terms` rarest distinct words of an item stand within `span`
-    words, in any order. Items of fewer distinct words are left out. For each place of a word that completes a set, the
-    shortest stretch that ends there."""
+    words, in any order, from the same stored index. Items of fewer distinct words are left out. For each place of a word
+    that completes a set, the shortest stretch that ends there. A document is dealt by stretches of `span` words, each
+    with the stretch before it, so neither a long document nor a frequent word is one task's."""
     worded = items.select(F.col("item_id").cast("string").alias("item_id"), F.array_distinct(words_of(F.col("text"))).alias("words"))
-    listed = stable(worded.select("item_id", F.explode("words").alias("term")))
-    vocabulary = stable(listed.select("term").distinct())
-    counts = postings(documents, vocabulary, vocabulary.count()).groupBy("term").agg(F.count("*").alias("n"))
-    ranked = listed.join(counts, "term", "left").withColumn("rank", F.row_number().over(W.partitionBy("item_id").orderBy(F.coalesce("n", F.lit(0)), "term")))
-    chosen = stable(ranked.where(F.col("rank") <= terms).select("item_id", "term", "rank"))
-    hits = postings(documents, chosen, chosen.count())
-    upto = W.partitionBy("doc_id", "tie", "item_id").orderBy("pos").rowsBetween(W.unboundedPreceding, W.currentRow)
-    last = [F.max(F.when(F.col("rank") == k + 1, F.col("pos"))).over(upto) for k in range(terms)]
-    placed = hits.select("doc_id", "tie", "item_id", "pos", *[x.alias(f"last{k}") for k, x in enumerate(last)])
+    listed = stable(worded.select("item_id", F.posexplode("words").alias("offset", "term")))
+    postings = index(documents, listed.select("term").distinct())
+    chosen = stable(_ranked(listed, postings, "item_id").where(F.col("rank") <= terms).select("item_id", "term", "rank"))
+    hits = postings.join(_sized(chosen), "term").withColumn("own", F.floor(F.col("pos") / span))
+    dealt = hits.withColumn("stretch", F.explode(F.array("own", F.col("own") + 1)))
+    upto = W.partitionBy("doc_id", "tie", "item_id", "stretch").orderBy("pos").rowsBetween(W.unboundedPreceding, W.currentRow)
+    last = [F.max(F.when(F.col("rank") == k + 1, F.col("pos"))).over(upto).alias(f"last{k}") for k in range(terms)]
+    placed = dealt.select("doc_id", "tie", "item_id", "pos", "own", "stretch", *last).where("own = stretch")
     whole = placed.where(" and ".join(f"last{k} is not null" for k in range(terms)))
     first = F.least(*[F.col(f"last{k}") for k in range(terms)]) if terms > 1 else F.col("last0")
-    return whole.select("doc_id", "tie", "item_id", first.alias("start"), (F.col("pos") + 1).alias("stop")).where(F.col("stop") - F.col("start") <= span)
+    return whole.select("doc_id", "tie", "item_id", first.alias("start"), (F.col("pos") + 1).alias("stop")).where(F.col("stop") - F.col("start") <= span).distinct()
 
 
 def covered(spans: Column) -> Column:
@@ -101,21 +122,25 @@ def contamination(documents: DataFrame, items: DataFrame, width: int = WIDTH) ->
 
     A word inside any occurrence of an item's window is hit. n_items counts the items with occurring windows;
     items_sha256 is of their ids, sorted as strings, comma-joined. Items without id hit words and are not counted. Null
-    texts have no words; repeated rows get the same result each. Input columns of these names are replaced."""
+    texts have no words; repeated rows get the same result each. Input columns of these names are replaced, no other
+    name clashes. A document of any length has a posting for each of its words that an item has; an empty table of documents
+    gives no rows, one of items no hits."""
     matches = phrase_matches(documents, phrases(items, width))
+    own, hit_id, hit_tie, hit_words, hit_items = fresh(documents, "hit_of", "hit_id", "hit_tie", "hit_words", "hit_items")
     spans = F.array_sort(F.collect_set(F.struct("start", "stop")))
-    merged = matches.groupBy(F.col("doc_id").alias("hit_id"), F.col("tie").alias("hit_tie")).agg(covered(spans).cast("long").alias("hit_words"), F.sort_array(F.array_distinct(F.flatten(F.collect_set("items")))).alias("hit_items"))
+    merged = matches.groupBy(F.col("doc_id").alias(hit_id), F.col("tie").alias(hit_tie)).agg(covered(spans).cast("long").alias(hit_words), F.sort_array(F.array_distinct(F.flatten(F.collect_set("items")))).alias(hit_items))
     documents = documents.drop("n_words", "n_hit", "n_items", "items_sha256", "contaminated")
     kept = documents.columns
-    counted = documents.withColumn("hit_of", _tie(F.col("text"))).withColumn("n_words", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
-    joined = counted.join(merged, F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("hit_of") == F.col("hit_tie")), "left")
-    n_hit = F.coalesce("hit_words", F.lit(0)).cast("long")
-    items_of = F.coalesce("hit_items", F.array().cast("array<string>"))
+    counted = documents.withColumn(own, _tie(F.col("text"))).withColumn("n_words", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
+    joined = counted.join(merged, F.col("doc_id").eqNullSafe(F.col(hit_id)) & (F.col(own) == F.col(hit_tie)), "left")
+    n_hit = F.coalesce(hit_words, F.lit(0)).cast("long")
+    items_of = F.coalesce(hit_items, F.array().cast("array<string>"))
     return joined.select(*kept, "n_words", n_hit.alias("n_hit"), F.size(items_of).cast("long").alias("n_items"), F.sha2(F.array_join(items_of, ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
 def clean(documents: DataFrame, items: DataFrame, width: int = WIDTH) -> DataFrame:
-    """The rows of documents without any window of the items."""
-    hits = stable(phrase_matches(documents, phrases(items, width)).select(F.col("doc_id").alias("hit_id"), F.col("tie").alias("hit_tie")).distinct())
-    here = F.col("doc_id").eqNullSafe(F.col("hit_id")) & (_tie(F.col("text")) == F.col("hit_tie"))
-    return documents.join(_sized(hits, hits.count()), here, "left_anti")
+    """The rows of documents without any window of the items, their columns untouched, whatever their names."""
+    own, hit_id, hit_tie = fresh(documents, "hit_of", "hit_id", "hit_tie")
+    hits = stable(phrase_matches(documents, phrases(items, width)).select(F.col("doc_id").alias(hit_id), F.col("tie").alias(hit_tie)).distinct())
+    tied = documents.withColumn(own, _tie(F.col("text")))
+    return tied.join(hits, F.col("doc_id").eqNullSafe(F.col(hit_id)) & (F.col(own) == F.col(hit_tie)), "left_anti").select(*documents.columns)
