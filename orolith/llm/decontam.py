@@ -1,10 +1,11 @@
 """Benchmark decontamination by a stored positional inverted index over training tokens.
 
-The index is a Parquet table in the shared folder: a posting (term, doc_id, tie, pos) for each training word that is a term
-of the items, written once for each call. A phrase is looked up from its rarest term: that list, shifted by the term's offset
-in the phrase, gives places where the phrase may start, and these are intersected with the shifted lists of the phrase's
-other terms, the second rarest first. Lists meet by (term, document, position), so a frequent term is spread over all
-tasks, and only documents that the rarest two terms leave are looked up further.
+The index is a Parquet table in the shared folder of postings (term, doc_id, tie, pos). A first pass counts the items' terms.
+Stored for all training documents are the postings of each phrase's two rarest terms; the list of the rarest, shifted by
+the term's offset in the phrase, gives places where the phrase may start, and these are intersected with the shifted list
+of the second. Only for the documents that are left are the postings of the other terms stored and intersected likewise:
+storing those of every frequent term would take several times the texts. Lists meet by (phrase, document, position), so a
+frequent term is spread over all tasks.
 """
 
 from __future__ import annotations
@@ -46,20 +47,26 @@ def _sized(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if total <= MOST_BROADCAST else df
 
 
-def index(documents: DataFrame, terms: DataFrame) -> DataFrame:
-    """Writes and reads (term, doc_id, tie, pos): a posting for each word of (doc_id, text) that is in terms (term)."""
-    spark = documents.sparkSession
+def postings(documents: DataFrame, terms: DataFrame) -> DataFrame:
+    """(term, doc_id, tie, pos): a posting for each word of (doc_id, text) that is in terms (term)."""
     worded = documents.select("doc_id", _tie(F.col("text")).alias("tie"), F.posexplode(words_of(F.col("text"))).alias("pos", "term"))
-    path = scratch_path(spark, "postings")
-    worded.join(_sized(terms), "term").select("term", "doc_id", "tie", "pos").write.parquet(path)
-    return spark.read.parquet(path)
+    return worded.join(_sized(terms), "term").select("term", "doc_id", "tie", "pos")
+
+
+def index(documents: DataFrame, terms: DataFrame) -> DataFrame:
+    """The postings, written to the shared folder once."""
+    path = scratch_path(documents.sparkSession, "postings")
+    postings(documents, terms).write.parquet(path)
+    return documents.sparkSession.read.parquet(path)
 
 
-def _ranked(offsets: DataFrame, postings: DataFrame, by: str) -> DataFrame:
-    """offsets (by, term, offset) with each row's rank, from 1, by how rare its term is in postings; ties by offset."""
-    counts = postings.groupBy("term").agg(F.count("*").alias("n"))
+def ranked(offsets: DataFrame, documents: DataFrame, by: str) -> DataFrame:
+    """offsets (by, term, offset) with n, how often documents have the term, and rank, from 1, by how rare it is among its
+    group's; ties by offset. Counts are added up before any shuffle."""
+    terms = stable(offsets.select("term").distinct())
+    counts = stable(postings(documents, terms).groupBy("term").agg(F.count("*").alias("n")))
     rarest = W.partitionBy(by).orderBy("n", "offset")  # at most an item's words to a group
-    return offsets.join(counts, "term", "left").withColumn("n", F.coalesce("n", F.lit(0))).withColumn("rank", F.row_number().over(rarest))
+    return stable(offsets.join(_sized(counts), "term", "left").withColumn("n", F.coalesce("n", F.lit(0))).withColumn("rank", F.row_number().over(rarest)))
 
 
 def phrase_matches(documents: DataFrame, found: DataFrame) -> DataFrame:
@@ -69,20 +76,21 @@ def phrase_matches(documents: DataFrame, found: DataFrame) -> DataFrame:
     if named.count() != named.select("phrase_id").distinct().count():  # two phrases with one hash
         named = stable(named.drop("phrase_id").withColumn("phrase_id", F.monotonically_increasing_id()))
     offsets = named.select("phrase_id", F.posexplode("phrase").alias("offset", "term"))
-    postings = index(documents, offsets.select("term").distinct())
-    order = stable(_ranked(offsets, postings, "phrase_id"))
-    # phrases with a term that no document has go at once
-    absent = order.where("n = 0").select("phrase_id").distinct()
+    order = ranked(offsets, documents, "phrase_id")
+    absent = order.where("n = 0").select("phrase_id").distinct()  # phrases with a term that no document has go at once
     order = stable(order.join(absent, "phrase_id", "left_anti"))
+    rare = index(documents, order.where("rank <= 2").select("term").distinct())
     lists = lambda where: _sized(order.where(where).select("phrase_id", "term", "offset"))
     shifted = lambda where, of: of.join(lists(where), "term").select("phrase_id", "doc_id", "tie", (F.col("pos") - F.col("offset")).alias("start")).where("start >= 0")
     key = lambda a, b: (a["phrase_id"] == b["phrase_id"]) & a["doc_id"].eqNullSafe(b["doc_id"]) & (a["tie"] == b["tie"]) & (a["start"] == b["start"])
-    near = shifted("rank = 1", postings).distinct()
-    second = shifted("rank = 2", postings)
+    near = shifted("rank = 1", rare).distinct()
+    second = shifted("rank = 2", rare)
     single = order.groupBy("phrase_id").agg(F.max("rank").alias("n_terms"))
     left = stable(near.join(second, key(near, second), "left_semi").unionByName(near.join(_sized(single.where("n_terms = 1").select("phrase_id")), "phrase_id", "left_semi")))
-    places = left.select("doc_id", "tie").distinct()
-    rest = postings.join(places, postings["doc_id"].eqNullSafe(places["doc_id"]) & (postings["tie"] == places["tie"]), "left_semi")
+    own, place_id, place_tie = fresh(documents, "place_of", "place_id", "place_tie")
+    places = stable(left.select(F.col("doc_id").alias(place_id), F.col("tie").alias(place_tie)).distinct())
+    open_ = documents.withColumn(own, _tie(F.col("text"))).join(_sized(places), F.col("doc_id").eqNullSafe(F.col(place_id)) & (F.col(own) == F.col(place_tie)), "left_semi")
+    rest = index(open_, order.where("rank > 2").select("term").distinct())
     others = rest.join(lists("rank > 2"), "term").select("phrase_id", "doc_id", "tie", (F.col("pos") - F.col("offset")).alias("start"), "offset")
     met = others.join(left, key(others, left), "left_semi").groupBy("phrase_id", *PLACE).agg(F.count_distinct("offset").alias("met"))
     wanted = single.where("n_terms > 2")
@@ -94,14 +102,13 @@ def phrase_matches(documents: DataFrame, found: DataFrame) -> DataFrame:
 
 def proximity_matches(documents: DataFrame, items: DataFrame, terms: int = 3, span: int = 20) -> DataFrame:
     """(doc_id, tie, item_id, start, stop): places where the `terms` rarest distinct words of an item stand within `span`
-    words, in any order, from the same stored index. Items of fewer distinct words are left out. For each place of a word
+    words, in any order, from stored postings. Items of fewer distinct words are left out. For each place of a word
     that completes a set, the shortest stretch that ends there. A document is dealt by stretches of `span` words, each
     with the stretch before it, so neither a long document nor a frequent word is one task's."""
     worded = items.select(F.col("item_id").cast("string").alias("item_id"), F.array_distinct(words_of(F.col("text"))).alias("words"))
     listed = stable(worded.select("item_id", F.posexplode("words").alias("offset", "term")))
-    postings = index(documents, listed.select("term").distinct())
-    chosen = stable(_ranked(listed, postings, "item_id").where(F.col("rank") <= terms).select("item_id", "term", "rank"))
-    hits = postings.join(_sized(chosen), "term").withColumn("own", F.floor(F.col("pos") / span))
+    chosen = stable(ranked(listed, documents, "item_id").where(F.col("rank") <= terms).select("item_id", "term", "rank"))
+    hits = index(documents, chosen.select("term").distinct()).join(_sized(chosen), "term").withColumn("own", F.floor(F.col("pos") / span))
     dealt = hits.withColumn("stretch", F.explode(F.array("own", F.col("own") + 1)))
     upto = W.partitionBy("doc_id", "tie", "item_id", "stretch").orderBy("pos").rowsBetween(W.unboundedPreceding, W.currentRow)
     last = [F.max(F.when(F.col("rank") == k + 1, F.col("pos"))).over(upto).alias(f"last{k}") for k in range(terms)]
