@@ -150,4 +150,4 @@ def clean(documents: DataFrame, items: DataFrame, width: int = WIDTH) -> DataFra
     own, hit_id, hit_tie = fresh(documents, "hit_of", "hit_id", "hit_tie")
     hits = stable(phrase_matches(documents, phrases(items, width)).select(F.col("doc_id").alias(hit_id), F.col("tie").alias(hit_tie)).distinct())
     tied = documents.withColumn(own, _tie(F.col("text")))
-    return tied.join(hits, F.col("doc_id").eqNullSafe(F.col(hit_id)) & (F.col(own) == F.col(hit_tie)), "left_anti").select(*documents.columns)
+    return tied.join(_sized(hits), F.col("doc_id").eqNullSafe(F.col(hit_id)) & (F.col(own) == F.col(hit_tie)), "left_anti").select(*documents.columns)
