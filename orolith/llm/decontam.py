@@ -81,21 +81,24 @@ def phrase_matches(documents: DataFrame, found: DataFrame) -> DataFrame:
     order = stable(order.join(absent, "phrase_id", "left_anti"))
     rare = index(documents, order.where("rank <= 2").select("term").distinct())
     lists = lambda where: _sized(order.where(where).select("phrase_id", "term", "offset"))
-    shifted = lambda where, of: of.join(lists(where), "term").select("phrase_id", "doc_id", "tie", (F.col("pos") - F.col("offset")).alias("start")).where("start >= 0")
-    key = lambda a, b: (a["phrase_id"] == b["phrase_id"]) & a["doc_id"].eqNullSafe(b["doc_id"]) & (a["tie"] == b["tie"]) & (a["start"] == b["start"])
-    near = shifted("rank = 1", rare).distinct()
-    second = shifted("rank = 2", rare)
     single = order.groupBy("phrase_id").agg(F.max("rank").alias("n_terms"))
-    left = stable(near.join(second, key(near, second), "left_semi").unionByName(near.join(_sized(single.where("n_terms = 1").select("phrase_id")), "phrase_id", "left_semi")))
+
+    def met_by(places: DataFrame, where: str, stored: DataFrame) -> DataFrame:
+        """The places (phrase_id, doc_id, tie, start) with a row for each term asked for that stands where it should."""
+        asked = places.join(lists(where), "phrase_id").withColumn("pos", F.col("start") + F.col("offset"))
+        same = (asked["term"] == stored["term"]) & asked["doc_id"].eqNullSafe(stored["doc_id"]) & (asked["tie"] == stored["tie"]) & (asked["pos"] == stored["pos"])
+        return asked.join(stored, same, "left_semi").select("phrase_id", *PLACE)
+
+    near = rare.join(lists("rank = 1"), "term").select("phrase_id", "doc_id", "tie", (F.col("pos") - F.col("offset")).alias("start")).where("start >= 0").distinct()
+    left = stable(met_by(near, "rank = 2", rare).unionByName(near.join(_sized(single.where("n_terms = 1").select("phrase_id")), "phrase_id", "left_semi")))
     own, place_id, place_tie = fresh(documents, "place_of", "place_id", "place_tie")
     places = stable(left.select(F.col("doc_id").alias(place_id), F.col("tie").alias(place_tie)).distinct())
     open_ = documents.withColumn(own, _tie(F.col("text"))).join(_sized(places), F.col("doc_id").eqNullSafe(F.col(place_id)) & (F.col(own) == F.col(place_tie)), "left_semi")
     rest = index(open_, order.where("rank > 2").select("term").distinct())
-    others = rest.join(lists("rank > 2"), "term").select("phrase_id", "doc_id", "tie", (F.col("pos") - F.col("offset")).alias("start"), "offset")
-    met = others.join(left, key(others, left), "left_semi").groupBy("phrase_id", *PLACE).agg(F.count_distinct("offset").alias("met"))
+    met = met_by(left, "rank > 2", rest).groupBy("phrase_id", *PLACE).agg(F.count("*").alias("met"))
     wanted = single.where("n_terms > 2")
     whole = met.join(_sized(wanted), "phrase_id").where("met = n_terms - 2").select("phrase_id", *PLACE)
-    short = left.join(_sized(single.where("n_terms <= 2").select("phrase_id")), "phrase_id", "left_semi").select("phrase_id", *PLACE)
+    short = left.join(_sized(single.where("n_terms <= 2").select("phrase_id")), "phrase_id", "left_semi")
     exact = whole.unionByName(short).join(_sized(named.select("phrase_id", F.size("phrase").alias("width"), "items")), "phrase_id")
     return exact.select("doc_id", "tie", "start", (F.col("start") + F.col("width")).alias("stop"), "items")
 
