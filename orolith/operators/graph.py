@@ -230,30 +230,42 @@ def hops(adjacency: DataFrame, path: DataFrame, n: int, include_path: bool = Fal
 
 
 def smooth(points: DataFrame, cells: DataFrame, model: str = "vehicle", most: int = 4, least: int = 2) -> DataFrame:
-    """points with shortcuts: from each point the widest stretch of at most `most` legs that is cheaper straight is cut.
-    Costs of all legs and shortcuts a path can take are priced in one pass; only the choice is sequential, per path."""
+    """points with shortcuts: from each point the widest stretch of at most `most` legs that is cheaper straight is cut,
+    again and again, so that one may grow over any number of original legs.
+
+    Legs and shortcuts over most * most legs are priced at once. A path that needs a longer one asks for those from that
+    point, over twice as many legs each time; only paths that ask take part in further rounds. Only the choice is
+    sequential, per path."""
     order = W.partitionBy("query_id").orderBy("seq")
     placed = points.select("query_id", (F.row_number().over(order) - 1).alias("i"), F.col("x"), F.col("y"))
-    whole = placed.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("i", "x", "y"))).alias("ps"))
+    whole = stable(placed.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("i", "x", "y"))).alias("ps")))
+    first = most * most
 
-    pairs = whole.select("query_id", "ps", F.explode(F.sequence(F.lit(0), F.size("ps") - 1)).alias("i"))
-    # a shortcut may start and end at any point, as earlier cuts bring later points near: within most * most legs
-    pairs = pairs.select("query_id", "ps", "i", F.explode(F.sequence(F.col("i"), F.least(F.size("ps") - 1, F.col("i") + most * most))).alias("j")).where("j > i")
-    p, q = F.get("ps", F.col("i")), F.get("ps", F.col("j"))
-    segments = pairs.select("query_id", "i", "j", F.rint(p["x"]).cast("int").alias("x0"), F.rint(p["y"]).cast("int").alias("y0"), F.rint(q["x"]).cast("int").alias("x1"), F.rint(q["y"]).cast("int").alias("y1"))
-    priced = price(segments, cells, ["query_id", "i", "j"], model, stepped=False)
-    gathered = priced.groupBy("query_id").agg(F.collect_list(F.struct("i", "j", "weight")).alias("ws")).join(whole, "query_id", "right")
+    def priced(spans: DataFrame) -> DataFrame:
+        """(query_id, i, j, weight) of the pairs from i to j, `after` < j - i <= `reach`, of (query_id, ps, i, after, reach)."""
+        last = F.least(F.size("ps") - 1, F.col("i") + F.col("reach"))
+        pairs = spans.where(F.col("i") + F.col("after") < last).select("query_id", "ps", "i", F.explode(F.sequence(F.col("i") + F.col("after") + 1, last)).alias("j"))
+        p, q = F.get("ps", F.col("i")), F.get("ps", F.col("j"))
+        segments = pairs.select("query_id", "i", "j", F.rint(p["x"]).cast("int").alias("x0"), F.rint(p["y"]).cast("int").alias("y0"), F.rint(q["x"]).cast("int").alias("x1"), F.rint(q["y"]).cast("int").alias("y1"))
+        return price(segments, cells, ["query_id", "i", "j"], model, stepped=False).select("query_id", "i", "j", "weight")
 
     def choose(frames):
         for frame in frames:
             rows = []
-            for query, ws, ps in zip(frame["query_id"], frame["ws"], frame["ps"], strict=True):
+            for query, ws, rs, ps in zip(frame["query_id"], frame["ws"], frame["rs"], frame["ps"], strict=True):
                 weight = {(w["i"], w["j"]): w["weight"] for w in (ws if ws is not None else [])}
-                kept, at = [q["i"] for q in ps], 0
-                while at < len(kept) - least:
+                reach = {}
+                for r in rs if rs is not None else []:
+                    reach[r["i"]] = max(r["reach"], reach.get(r["i"], first))
+                kept, at, asked = [q["i"] for q in ps], 0, None
+                while at < len(kept) - least and asked is None:
                     for width in range(most, least - 1, -1):
                         if at + width >= len(kept):
                             continue
+                        here = reach.get(kept[at], first)
+                        if kept[at + width] - kept[at] > here:
+                            asked = (query, -1, float(kept[at]), float(2 * here))
+                            break
                         legs = [weight.get(e) for e in itertools.pairwise(kept[at : at + width + 1])]
                         straight = weight.get((kept[at], kept[at + width]))
                         if straight is not None and None not in legs and straight < sum(legs):
@@ -262,10 +274,24 @@ def smooth(points: DataFrame, cells: DataFrame, model: str = "vehicle", most: in
                     else:
                         at += 1
                 by = {q["i"]: q for q in ps}
-                rows += [(query, n, by[i]["x"], by[i]["y"]) for n, i in enumerate(kept)]
+                rows += [asked] if asked is not None else [(query, n, by[i]["x"], by[i]["y"]) for n, i in enumerate(kept)]
             yield pd.DataFrame(rows, columns=["query_id", "seq", "x", "y"])
 
-    return gathered.select("query_id", "ws", "ps").mapInPandas(choose, "query_id long, seq int, x double, y double")
+    spans = whole.select("query_id", "ps", F.explode(F.sequence(F.lit(0), F.size("ps") - 1)).alias("i"), F.lit(0).alias("after"), F.lit(first).alias("reach"))
+    known, asked, live, done = stable(priced(spans)), None, whole, None
+    while True:
+        weights = known.groupBy("query_id").agg(F.collect_list(F.struct("i", "j", "weight")).alias("ws"))
+        reaches = live.select("query_id", F.lit(None).cast("array<struct<i:int,reach:int>>").alias("rs")) if asked is None else asked.groupBy("query_id").agg(F.collect_list(F.struct("i", "reach")).alias("rs"))
+        out = stable(live.join(weights, "query_id", "left").join(reaches, "query_id", "left").select("query_id", "ws", "rs", "ps").mapInPandas(choose, "query_id long, seq int, x double, y double"))
+        whole_paths = out.where("seq >= 0")
+        done = whole_paths if done is None else done.unionByName(whole_paths)
+        wanted = out.where("seq < 0").select("query_id", F.col("x").cast("int").alias("i"), F.col("y").cast("int").alias("reach"))
+        if not wanted.take(1):
+            return done
+        live = live.join(wanted.select("query_id"), "query_id", "left_semi")
+        fresh = live.join(wanted, "query_id").select("query_id", "ps", "i", (F.col("reach") / 2).cast("int").alias("after"), "reach")
+        known = stable(known.join(wanted.select("query_id"), "query_id", "left_semi").unionByName(priced(fresh)))
+        asked = wanted if asked is None else stable(asked.join(wanted.select("query_id"), "query_id", "left_semi").unionByName(wanted))
 
 
 def refine(points: DataFrame, cells: DataFrame, samples: int = 20, reach: float = 3.0, seed: int = 0, model: str = "vehicle") -> DataFrame:
