@@ -26,6 +26,9 @@ SCOPES = {"li": frozenset({"ul", "ol", "menu"}), "tr": frozenset({"table"}), "td
 P_SCOPE = frozenset({"td", "th", "table", "li", "div", "article", "section", "main", "body", "blockquote", "button", "caption", "object"})
 CONTAINERS = frozenset({"article", "main", "section", "div", "body", "td", "center", "blockquote"})
 
+#: Elements of an article's own matter: their classes and ids say nothing of clutter (a paragraph's only as whole names).
+PROSE = frozenset("h1 h2 h3 h4 h5 h6 table tbody thead tr td th caption pre blockquote figure li dt dd".split())
+
 #: Words of classes, ids and roles that name what is not the article.
 CLUTTER = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense banner promo promotion promoted sponsor sponsored sponsors outbrain taboola "
@@ -36,7 +39,9 @@ CLUTTER = frozenset(
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
 HEAD_IN = frozenset({"article", "main", "section"})
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|[^<]+|<", re.S)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|<(?=/?[a-zA-Z])[^>]*>|[^<]+|<", re.S)
+#: A tag whose quotes do not match ends at its first `>`.
+LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
 #: The end tags of the elements whose insides are no markup.
 RAW_END = {x: re.compile(rf"</{x}(?=[\s/>])[^>]*>", re.I) for x in RAW}
 ATTRIBUTE = re.compile(r"([^\s=/\"']+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
@@ -57,7 +62,8 @@ def _described(tag: str, attributes: str) -> tuple[str, bool]:
         return tag, tag in DROPPED
     found = {k.lower(): html.unescape(a or b or c) for k, a, b, c in ATTRIBUTE.findall(attributes)}
     classes = re.sub(r"\d+", "", found.get("class", "").lower()).split()
-    words = {w for x in (*classes, found.get("id", "").lower()) for w in SPLIT_NAME.findall(x)}
+    names = (*classes, found.get("id", "").lower())
+    words = set() if tag in PROSE else {w for x in names for w in SPLIT_NAME.findall(x)} if tag != "p" else set(names)
     hidden = "hidden" in found or "display:none" in found.get("style", "").replace(" ", "").lower() or found.get("aria-hidden") == "true"
     clutter = tag in DROPPED or tag not in ("html", "body", "article", "main") and bool(words & CLUTTER or found.get("role", "").lower() in ROLES) or hidden and tag not in ("html", "body")
     return ".".join([tag, *sorted(set(classes))]), clutter
@@ -69,13 +75,14 @@ def parse(page: str) -> Node:
     at = root
     tokens = TOKEN.finditer(page)
     while (m := next(tokens, None)) is not None:
-        tag = m.group(2)
-        if tag is None:
+        after = m.end()
+        if m.group(2) is None:
             piece = m.group()
             if piece[0] != "<" or piece == "<":
                 at.children.append(html.unescape(piece) if "&" in piece else piece)
-            continue
-        tag = tag.lower()
+            if (m := LOOSE.fullmatch(piece)) is None:
+                continue
+        tag = m.group(2).lower()
         if m.group(1):
             node = at
             while node.parent is not None and node.tag != tag:
@@ -102,7 +109,7 @@ def parse(page: str) -> Node:
         if tag in VOID or m.group(3).endswith("/") and tag not in INLINE and tag not in CONTAINERS and tag != "p":
             continue
         if tag in RAW:  # inside a script, style or the like only its own end tag counts
-            end = RAW_END[tag].search(page, m.end())
+            end = RAW_END[tag].search(page, after)
             if end is None:
                 break
             tokens = TOKEN.finditer(page, end.end())
@@ -207,8 +214,8 @@ def votes(page: str) -> list[tuple[str, float]]:
 
 
 def extract(page: str, winners: list[str]) -> str:
-    """The text of the elements on the first of the winning paths that the page has, of its own best container if it has
-    none of them; elements inside others that are taken count once."""
+    """The text, in page order, of the elements on the first of the winning paths that the page has, and of those on the
+    other winning paths that lie neither around nor inside these; of the page's own best container if it has none."""
     root = parse(page)
     wanted = {p: i for i, p in enumerate(winners)}
     found: dict[int, list[Node]] = {}
@@ -217,25 +224,30 @@ def extract(page: str, winners: list[str]) -> str:
             if node.tag in CONTAINERS and (rank := wanted.get(path(node))) is not None:
                 found.setdefault(rank, []).append(node)
     chosen: list[Node] = []
+    taken: set[int] = set()  # what is chosen
+    around: set[int] = set()  # what lies around it
     for rank in sorted(found):
-        texts = [x for x in found[rank] if blocks(x)]
-        if texts:
-            taken = {id(x) for x in texts}
-            for node in texts:
-                up = node.parent
-                while up is not None and id(up) not in taken:
-                    up = up.parent
-                if up is None:
-                    chosen.append(node)
-            break
+        for node in found[rank]:  # outer ones come first
+            if id(node) in around or not blocks(node):
+                continue
+            above, up = [], node.parent
+            while up is not None and id(up) not in taken:
+                above.append(id(up))
+                up = up.parent
+            if up is None:
+                chosen.append(node)
+                taken.add(id(node))
+                around.update(above)
+    places = {id(x): i for i, x in enumerate(_elements(root))}
+    chosen.sort(key=lambda x: places[id(x)])
     if not chosen:
         own = scores(root)
         chosen = [max(own, key=lambda x: x[1])[0]] if own else [root]
     return " ".join(x for node in chosen for x in blocks(node))
 
 
-#: A host keeps so many winning paths, best first.
-WINNERS = 3
+#: A host's winning paths have at least this share of the votes of its best one.
+CONSENSUS = 0.25
 #: Host paths are broadcast up to so many hosts of about a kilobyte; beyond, pages are joined by host.
 MOST_HOSTS = 20_000
 
@@ -255,8 +267,10 @@ def host_paths(pages: DataFrame) -> DataFrame:
 
     voted = pages.select(host(F.col("url")).alias("host"), "html").mapInArrow(run, "host string, path string, share double")
     summed = voted.groupBy("host", "path").agg(F.sum(F.round(F.col("share") * 1000).cast("long")).alias("votes"))
-    best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("votes")).alias("v"), (-F.length("path")).alias("l"), "path"))), 1, WINNERS)
-    return summed.groupBy("host").agg(F.transform(best, lambda x: x["path"]).alias("paths"))
+    most = summed.groupBy("host").agg(F.max("votes").alias("most"))
+    winners = summed.join(most, "host").where(F.col("votes") >= CONSENSUS * F.col("most"))
+    best = F.array_sort(F.collect_list(F.struct((-F.col("votes")).alias("v"), (-F.length("path")).alias("l"), "path")))
+    return winners.groupBy("host").agg(F.transform(best, lambda x: x["path"]).alias("paths"))
 
 
 def main_text(pages: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ from .common import SEPARATOR, WORD, ascii_lower
 #: Base phrases and their labels: fixed values of the contract.
 BASE = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
 
-#: label: names. A name is a word pattern: `a|b` one of, `?a` optional, `#` any number.
+#: label: names. A name is a word pattern: `a|b` one of, `?a` optional, `#` any number, `*8` up to eight words of any kind.
 FAMILIES: dict[str, tuple[str, ...]] = {
     "mit": ("mit", "mit x11", "expat"),
     "x11": ("x11",),
@@ -82,7 +82,18 @@ NOTICES = (
     ("mit", 1, "permission is hereby granted free of charge to any person obtaining a copy"),
     ("mit", 1, "the software is provided as is without warranty of any kind express or implied"),
     ("isc", 1, "permission to use copy modify and or distribute this software for any purpose"),
-    ("bsd-3", 1, "neither the name of ?the # nor the names of its contributors"),
+    ("bsd-3", 1, "neither the name of *8 nor the names of its contributors"),
+    ("bsd-3", 1, "neither the name of *8 nor the names of contributors may be used to endorse or promote"),
+    ("bsd-4", 1, "all advertising materials mentioning features or use of this software must display the following acknowledgement"),
+    ("bsd-2", 1, "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer"),
+    ("gpl-3", 1, "under the terms of the gnu general public license as published by the free software foundation either version 3 of the license"),
+    ("gpl-2", 1, "under the terms of the gnu general public license as published by the free software foundation either version 2 of the license"),
+    ("lgpl-2.1", 1, "under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license"),
+    ("agpl-3", 1, "under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license"),
+    ("zlib", 1, "the origin of this software must not be misrepresented you must not claim that you wrote the original software"),
+    ("boost-1", 1, "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license"),
+    ("cc0", 1, "to the extent possible under law *8 has waived all copyright and related or neighboring rights"),
+    ("wtfpl", 1, "everyone is permitted to copy and distribute verbatim or modified copies of this license document and changing it is allowed"),
     ("bsd-2", 2, "redistribution and use in source and binary forms with or without modification are permitted"),
     ("gpl", 1, "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license"),
     ("gpl", 2, "gnu general public license"),
@@ -103,7 +114,7 @@ NOTICES = (
 
 #: A text without any of these has no detection: every rule needs one, or "cc" followed by "by" or "zero", or a verb of the
 #: first statement followed by "under".
-GATE_WORDS = ("licen", "gpl", "apache", "spdx", "commons", "permission", "warranty", "redistribution", "gnu", "unencumbered", "contributors", "terms", "conditions", "domain", "reserved", "confidential")
+GATE_WORDS = ("licen", "gpl", "apache", "spdx", "commons", "permission", "warranty", "redistribution", "gnu", "unencumbered", "contributors", "terms", "conditions", "domain", "reserved", "confidential", "advertising", "acknowledgement", "misrepresented", "waived", "endorse", "verbatim", "redistributions")
 GATE_CC = f"[cC][cC]{SEPARATOR}+(?:[bB][yY]|[zZ][eE][rR][oO])"
 GATE_UNDER = f"(?:{STATEMENTS[0][1].split()[0]}){SEPARATOR}+under"
 CONFIDENCE = {1: 1.0, 2: 0.9, 3: 0.5}
@@ -122,13 +133,16 @@ class Rule:
 
     def keyword(self) -> str:
         """The longest word that every match has and that tells most."""
-        needed = [x for x in self.pattern.split() if x[0] not in "?#" and "|" not in x]
+        needed = [x for x in self.pattern.split() if x[0] not in "?#*" and "|" not in x]
         return max(needed, key=lambda x: (x not in GENERIC and not x.isdigit(), len(x)))
 
     def regex(self) -> str:
         """Over `word|place ` strings."""
         out = []
         for slot in self.pattern.split():
+            if slot.startswith("*"):
+                out.append(f"(?:[^| ]+\\|[0-9]+ ){{0,{int(slot[1:])}}}?")
+                continue
             optional, slot = slot.startswith("?"), slot.removeprefix("?")
             words = r"[0-9]+" if slot == "#" else "|".join(map(re.escape, slot.split("|")))
             out.append(f"(?:(?:{words})\\|[0-9]+ )" + "?" * optional)

@@ -44,3 +44,13 @@ def test_consensus_and_odd_rows(spark):
 @pytest.mark.parametrize("tags", [("script", "script"), ("SCRIPT type='x'", "Script "), ("style", "style"), ("title", "title\n"), ("textarea", "textarea")])
 def test_markup_inside_raw_elements(inside, tags):
     assert htmltext.extract(f"<div><p>before</p><{tags[0]}>{inside}</{tags[1]}><p>article</p></div>", []) == "before article"
+
+
+def test_scripts_quotes_names_and_two_winning_paths():
+    plain = lambda page: htmltext.extract(page, [])
+    assert plain("<body><script>for(i=0;i<n;i++){a()}</script><article><p>Hello world here</p></article></body>") == "Hello world here"
+    assert plain('<article><p>One <a title="x>link</a> two</p></article>') == "One link two"
+    assert plain('<article><h2 id="header-history">History</h2><p>Text.</p><table class="table-related"><tr><td class="share-price">7</td></tr></table></article>') == "History Text. 7"
+    page = '<body><div class="a"><p>First part.</p></div><div class="nav">menu</div><div class="b"><p>Second part.</p></div></body>'
+    paths = [htmltext.path(x) for x in htmltext._elements(htmltext.parse(page)) if x.name in ("div.a", "div.b")]
+    assert htmltext.extract(page, paths) == htmltext.extract(page, paths[::-1]) == "First part. Second part."

@@ -329,3 +329,9 @@ def test_neighbours_equal_brute_force(spark, odd, empty):
     assert merkle.compare_with_next(empty).collect() == []
     one = merkle.compare_with_next(spark.createDataFrame([(5, "ab cd")], "doc_id long, text string")).collect()
     assert len(one) == 1 and one[0].near_next == 1
+
+
+def test_license_notices_with_names_in_them(spark):
+    texts = ["Neither the name of the copyright holder nor the names of its contributors may be used", "Neither the name of Foo Bar Inc. nor the names of its contributors", "To the extent possible under law, Jane Doe has waived all copyright and related or neighboring rights"]
+    rows = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [r.labels for r in rows] == ["bsd-3", "bsd-3", "cc0"]
