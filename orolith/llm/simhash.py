@@ -1,14 +1,12 @@
-"""SimHash near-duplicates, linked exactly within a Hamming radius by distributed vantage-point trees.
-
-A single vantage-point tree over 64-bit fingerprints prunes badly: distances between unrelated fingerprints crowd
-around 32, so a radius of 3 overlaps both sides of most boundaries and a query visits most shards. The forest here
-keeps the method and removes that overlap. A node splits the bits it has not yet fixed into radius + 1 blocks. In each
-block the vantage points are zero and the unit vectors; the Hamming distances to them name the block's value, and two
-fingerprints within the radius agree in one block at least (else they would differ in radius + 1 places). So each child
-is a shell of fingerprints at equal distances from the vantage points, the triangle bound for that block has radius 0,
-and a pair within the radius always meets in a shard. Nodes of more than `leaf` fingerprints split again on the bits
-that are left, whichever the input size, so no shard grows with a group of near copies and none is cut short. Inside
-a shard the pairs are found by their exact distances, pruned by the triangle bound on distances to the shard's pivot.
+"""SimHash near-duplicates, linked exactly within a Hamming radius by shards of fingerprints that agree in a block of bits.
+
+A vantage-point tree over 64-bit fingerprints prunes badly: distances between unrelated fingerprints crowd around 32, so a
+radius of 3 overlaps both sides of most boundaries and a query visits most shards. So bit blocks replace vantage points: a
+node splits the bits it has not yet fixed into radius + 1 blocks, and its children are the fingerprints with equal values of a
+block. Two fingerprints within the radius agree in one block at least, so each such pair meets in a shard. Nodes of
+more than `leaf` fingerprints split again on the bits that are left, whichever the input size, so no shard grows with a
+group of near copies and none is cut short. Inside a shard the pairs are found by their exact distances, pruned by the
+triangle bound on distances to the shard's pivot.
 """
 
 from __future__ import annotations
