@@ -16,8 +16,10 @@ GOLDEN, TURN = 2654435769, 1 << 32
 CELLS = 1024
 CHUNK = 1 << 16
 BUCKET = 4096
+#: Words of a block, at every size of the input.
+BLOCK = 256
 #: A source whose target is under so many blocks takes its target to the word: of some blocks, the schedule's are too coarse.
-FEW_BLOCKS = 1024
+FEW_BLOCKS = 256
 
 
 def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
@@ -50,7 +52,8 @@ def schedule(spark: SparkSession, mixed: DataFrame, n_slots: int) -> DataFrame:
     arcs = arcs.withColumn("lo", F.when(F.col("lo") == F.min("lo").over(W.partitionBy()), F.lit(0)).otherwise(F.lag("hi").over(W.orderBy("src"))))
     cell = TURN // CELLS
     arcs = arcs.withColumn("cell", F.explode(F.sequence(F.floor(F.col("lo") / cell), F.floor((F.col("hi") - 1) / cell))))
-    points = spark.range(n_slots).select(F.col("id").alias("slot"), F.pmod(F.col("id") * GOLDEN, F.lit(TURN)).alias("point"))
+    turn = F.pmod(F.col("id"), F.lit(TURN))  # the points recur after a turn; halves of its bits keep products within a long
+    points = spark.range(n_slots).select(F.col("id").alias("slot"), F.pmod(F.shiftleft(F.pmod(F.shiftright(turn, 16) * GOLDEN, F.lit(1 << 16)), 16) + turn.bitwiseAND(F.lit(0xFFFF)) * GOLDEN, F.lit(TURN)).alias("point"))
     points = points.withColumn("cell", F.floor(F.col("point") / cell))
     slots = points.join(arcs, "cell").where("point >= lo and point < hi").select("slot", F.floor(F.col("slot") / CHUNK).alias("chunk"), "src")
     counts = slots.groupBy("src", "chunk").agg(F.count("*").alias("n"))
@@ -63,11 +66,11 @@ def _shuffle_key() -> Column:
     return F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
 
 
-def mix(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
+def mix(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, block: int = BLOCK) -> DataFrame:
     """(doc_id, size, source_size, target, taken) of each document of (doc_id, text, source).
 
     A source's documents lie end to end in the order of md5(doc_id), once for each of `most` passes, and are cut into
-    blocks of equal tokens; the schedule's slots take the source's blocks in order. taken counts the words of a document
+    blocks of `block` words; the schedule's slots take the source's blocks in order. taken counts the words of a document
     in blocks that a slot takes, so it is at most `most` times its size, and a source's words differ from its target by
     the schedule's discrepancy, a few blocks. A source whose target is under FEW_BLOCKS blocks takes its words up to the
     target, whatever its slots. Places are prefix sums over buckets of the order, about 4096 rows each, so
@@ -78,7 +81,6 @@ def mix(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_rows"))
     mixed = stable(targets(sources, weights, share, most))
     amount = int((mixed.agg(F.max("amount")).first()[0]) or 0)
-    block = max(1, -(-amount // (1 << 30)), min(4096, amount // 200_000))
     n_slots = -(-amount // block)
 
     per_source = mixed.select(F.col("source").alias("its"), "src", "source_size", "target", F.ceil(F.col("n_rows") / BUCKET).alias("buckets"))

@@ -94,11 +94,12 @@ WITH sized AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text,
  cap AS (SELECT *, CASE src % 3 WHEN 0 THEN 3.0 WHEN 1 THEN 1.0 ELSE 2.0 END::DOUBLE AS weight, 2.0 * source_size AS cap, 1.5 * (SELECT sum(source_size) FROM src) AS amount FROM src),
  lev AS (SELECT *, CAST(amount - coalesce(sum(cap) OVER (ORDER BY cap / weight, src ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE) / sum(weight) OVER (ORDER BY cap / weight, src ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM cap),
  tgt AS (SELECT source, src, source_size, amount, round(CASE WHEN cap / weight <= level THEN CAST(cap AS DOUBLE) ELSE weight * (SELECT max(level) FROM lev WHERE cap / weight > level) END, 6) AS target FROM lev),
- blk AS (SELECT CAST(floor(max(amount)) AS BIGINT) AS amount, greatest(1, CAST(ceil(floor(max(amount)) / 1073741824.0) AS BIGINT), least(4096, CAST(floor(max(amount)) AS BIGINT) // 200000)) AS block FROM tgt),
+ blk AS (SELECT CAST(floor(max(amount)) AS BIGINT) AS amount, 256 AS block FROM tgt),
  slot AS (SELECT (i * 2654435769) % 4294967296 AS point FROM (SELECT unnest(range(0, -((-amount) // block) + 1)) AS i, -((-amount) // block) AS n FROM blk) WHERE i * (SELECT block FROM blk) < (SELECT amount FROM blk)),
  arc AS (SELECT src, hi, coalesce(lag(hi) OVER (ORDER BY src), 0) AS lo FROM (SELECT src, CASE WHEN upto = max(upto) OVER () THEN 4294967296 ELSE CAST(floor(upto / every * 4294967296) AS BIGINT) END AS hi
    FROM (SELECT src, sum(target) OVER (ORDER BY src) AS upto, sum(target) OVER () AS every FROM tgt WHERE target > 0))),
- taken AS (SELECT src, count(*) * (SELECT block FROM blk) AS upto FROM slot JOIN arc ON point >= lo AND point < hi GROUP BY src),
+ slots AS (SELECT src, count(*) * (SELECT block FROM blk) AS upto FROM slot JOIN arc ON point >= lo AND point < hi GROUP BY src),
+ taken AS (SELECT src, CASE WHEN target < 256 * (SELECT block FROM blk) THEN CAST(round(target) AS BIGINT) ELSE upto END AS upto FROM tgt LEFT JOIN slots USING (src)),
  laid AS (SELECT d.doc_id, d.size, t.source_size, t.target, t.src, sum(d.size) OVER (PARTITION BY t.src ORDER BY key, doc_id, size ROWS UNBOUNDED PRECEDING) - d.size AS place FROM sized d JOIN tgt t ON t.source IS NOT DISTINCT FROM d.source)
 SELECT doc_id, size, source_size, target, CAST(greatest(0, least(place + size, coalesce(upto, 0)) - place) + greatest(0, least(source_size + place + size, coalesce(upto, 0)) - source_size - place) AS BIGINT) AS taken FROM laid LEFT JOIN taken USING (src)
 """
