@@ -8,21 +8,22 @@ the popcount of that language's bit over its n-grams; what the filter's own fals
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import fresh, held
+from .common import fresh, held, stable
 
-#: Bounds of the model: languages (bits of a slot), training documents for each, n-grams for each, slots, hashes.
-MOST_LANGUAGES = 64
+#: The fit's sample: about so many training documents of each language.
 PER_LANGUAGE = 600
-MOST_GRAMS = 20_000
-SLOTS = 1 << 18
+#: Slots of the filters and hashes of an n-gram. A slot has a word of BITS bits for every so many languages.
+SLOTS = 1 << 20
 HASHES = 3
+BITS = 64
 UNDETERMINED = "und"
 SIZES = (2, 3, 4)
 #: An n-gram belongs to a language if its share there is at least so much of its greatest share in any.
@@ -77,15 +78,20 @@ def _slots(h: np.ndarray) -> list[np.ndarray]:
     return [((a + np.uint64(k) * b) % np.uint64(SLOTS)).astype(np.int64) for k in range(HASHES)]
 
 
+def _bit(masks: np.ndarray, i: int) -> np.ndarray:
+    """Language i's bit of each column of masks, whose rows are a mask's words."""
+    return (masks[i // BITS] >> np.uint64(i % BITS)) & np.uint64(1)
+
+
 @dataclass
 class Model:
     languages: list[str]
-    masks: np.ndarray  # a mask for each slot
+    masks: np.ndarray  # a column for each slot, a row for each word of the mask
     common: int  # the language with most training documents
+    rates: np.ndarray = field(init=False)  # each language's false-positive rate: its share of set slots, to the number of hashes
 
-    def rates(self) -> np.ndarray:
-        """Each language's false-positive rate: its share of set slots, to the number of hashes."""
-        return np.array([(float(((self.masks >> np.uint64(i)) & np.uint64(1)).mean())) ** HASHES for i in range(len(self.languages))])
+    def __post_init__(self) -> None:
+        self.rates = np.array([float(_bit(self.masks, i).mean()) ** HASHES for i in range(len(self.languages))])
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Language, score (the winner's share of all corrected hits) and coverage (the winner's corrected hits for
@@ -96,10 +102,10 @@ class Model:
         lettered = np.array([any(c.isalpha() for c in x) if x else False for x in texts], bool)
         hits = np.zeros((n, max(k, 1)))
         if len(h) and k:
-            found = np.bitwise_and.reduce([self.masks[s] for s in _slots(h)])
+            found = np.bitwise_and.reduce([self.masks[:, s] for s in _slots(h)])
             for i in range(k):
-                hits[:, i] = np.bincount(owner, ((found >> np.uint64(i)) & np.uint64(1)).astype(float), n)
-        rates = self.rates() if k else np.zeros(1)
+                hits[:, i] = np.bincount(owner, _bit(found, i).astype(float), n)
+        rates = self.rates if k else np.zeros(1)
         true = np.maximum(0, (hits - total[:, None] * rates) / np.maximum(1 - rates, 1e-9))
         best = np.where(true.max(1) > 0, true.argmax(1), self.common)
         won, every = true[np.arange(n), best], true.sum(1)
@@ -118,41 +124,41 @@ def held_out() -> Column:
 def train(documents: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     """Fits a model on (doc_id, text, lang) of the documents that are not held out and have a language.
 
-    The sample is bounded: about per_language documents of each language, those with the smallest hashes of doc_id, and
-    of their n-grams the MOST_GRAMS most frequent of each language; languages beyond MOST_LANGUAGES are an error."""
+    The sample is bounded: about per_language documents of each language, those with the smallest hashes of doc_id. All
+    their n-grams that occur twice in a language are weighed, in Spark; only the filters' set slots come to the driver, at
+    most SLOTS rows for every BITS languages, whatever the texts' lengths. An empty table gives a model of no languages."""
     rows = documents.where(~held_out() & F.col("lang").isNotNull())
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy("lang").limit(MOST_LANGUAGES + 1).collect()}
-    if len(counts) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # a row for each language
     languages = sorted(counts)
+    masks = np.zeros((max(1, -(-len(languages) // BITS)), SLOTS), np.uint64)
     if not languages:
-        return Model([], np.zeros(SLOTS, np.uint64), 0)
-    numbers = {x: i for i, x in enumerate(languages)}
-    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
-    share = F.coalesce(*[F.when(F.col("lang") == x, F.lit(int(min(1.0, per_language / counts[x]) * (1 << 40)))) for x in languages])
+        return Model([], masks, 0)
+    spark = documents.sparkSession
+    numbers = spark.createDataFrame([(x, i, min(1.0, per_language / counts[x])) for i, x in enumerate(languages)], "lang string, number long, share double")
+    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    sample = rows.withColumn("draw", draw).join(F.broadcast(numbers), "lang").where("draw < share").select("text", "number")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             h, owner = grams(batch.column(0).to_pylist())
-            lang = np.array([numbers[x] for x in batch.column(1).to_pylist()], np.int64)[owner]
+            lang = np.asarray(batch.column(1))[owner]
             keys, n = np.unique(np.stack([lang, h.view(np.int64)], 1), axis=0, return_counts=True) if len(h) else (np.zeros((0, 2), np.int64), np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(keys[:, 0], pa.int64()), pa.array(keys[:, 1], pa.int64()), pa.array(n, pa.int64())], names=["lang", "gram", "n"])
 
-    sample = rows.where(draw < share).select("text", "lang")
-    table = sample.mapInArrow(count, "lang long, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).where("n > 1").toPandas()
-    shares: dict[int, np.ndarray] = {}
-    all_grams = np.unique(table["gram"].to_numpy())
-    freq = np.zeros((len(languages), len(all_grams)))
-    for i in range(len(languages)):
-        own = table[table["lang"] == i].nlargest(MOST_GRAMS, ["n", "gram"])
-        shares[i] = np.searchsorted(all_grams, own["gram"].to_numpy())
-        freq[i, shares[i]] = own["n"].to_numpy() / max(1, own["n"].sum())
-    most = freq.max(0) if len(all_grams) else np.zeros(0)
-    masks = np.zeros(SLOTS, np.uint64)
-    for i in range(len(languages)):
-        own = all_grams[(freq[i] > 0) & (freq[i] >= BELONGS * most)].view(np.uint64)
-        for s in _slots(own):
-            np.bitwise_or.at(masks, s, np.uint64(1 << i))
+    def set_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lang, h = np.asarray(batch.column(0)), np.asarray(batch.column(1)).view(np.uint64)
+            mask = (np.uint64(1) << (lang % BITS).astype(np.uint64)).view(np.int64)
+            for s in _slots(h):
+                yield pa.RecordBatch.from_arrays([pa.array(lang // BITS, pa.int64()), pa.array(s, pa.int64()), pa.array(mask, pa.int64())], names=["word", "slot", "mask"])
+
+    counted = stable(sample.mapInArrow(count, "lang long, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).where("n > 1"))
+    totals = counted.groupBy("lang").agg(F.sum("n").alias("total"))
+    shares = counted.join(F.broadcast(totals), "lang").select("lang", "gram", (F.col("n") / F.col("total")).alias("share"))  # a row of totals for each language
+    most = shares.groupBy("gram").agg(F.max("share").alias("most"))
+    belongs = shares.join(most, "gram").where(F.col("share") >= BELONGS * F.col("most")).select("lang", "gram")
+    for r in belongs.mapInArrow(set_slots, "word long, slot long, mask long").groupBy("word", "slot").agg(F.bit_or("mask").alias("mask")).toArrow().to_batches():
+        masks[np.asarray(r.column(0)), np.asarray(r.column(1))] = np.asarray(r.column(2)).view(np.uint64)
     return Model(languages, masks, max(range(len(languages)), key=lambda i: counts[languages[i]]))
 
 
@@ -165,7 +171,7 @@ def identify(documents: DataFrame, model: Model, names: tuple[str, str, str] = (
     time and memory in proportion to its length."""
     documents = documents.drop(*names)
     at = documents.columns.index("text")
-    shared = documents.sparkSession.sparkContext.broadcast(model)  # SLOTS masks of 8 bytes, whatever the input
+    shared = documents.sparkSession.sparkContext.broadcast(model)  # SLOTS words of 8 bytes for every BITS languages, whatever the input
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -174,8 +180,6 @@ def identify(documents: DataFrame, model: Model, names: tuple[str, str, str] = (
                 found, score, coverage = shared.value.predict(batch.column(at).to_pylist())
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string()), pa.array(score), pa.array(coverage)], names=[*batch.schema.names, *names])
 
-    from pyspark.sql import types as T
-
     added = [T.StructField(n, t) for n, t in zip(names, (T.StringType(), T.DoubleType(), T.DoubleType()), strict=True)]
     return documents.mapInArrow(run, T.StructType([*documents.schema.fields, *added]))
 

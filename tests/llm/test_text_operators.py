@@ -1,9 +1,11 @@
-import random
 import hashlib
 import itertools
+import random
 import re
 import zlib
+from collections import Counter
 
+import numpy as np
 import pytest
 from orolith.llm import decontam, langid, licenses, merkle, mixing, sharding
 from pyspark.sql import functions as F
@@ -100,8 +102,6 @@ def test_statements_without_the_word_license(spark, text, labels):
 
 
 def test_language_of_held_out_documents(spark):
-    import random
-
     rng = random.Random(2)
     stock = {"en": "the of and to in that it was for on are with as his they be at one have this".split(), "de": "der die und in den von zu das mit sich des auf für ist im dem nicht ein eine".split(), "fr": "de la le et les des en un du une que est pour qui dans par plus pas au sur".split()}
     rows = [(i, " ".join(rng.choice(stock[lang]) for _ in range(40)), lang) for i in range(600) for lang in [rng.choice(sorted(stock))]]
@@ -129,6 +129,40 @@ def test_language_of_odd_rows(odd, empty):
     assert langid.identify(empty, model).collect() == []
 
 
+def test_filters_equal_exact_sets_but_for_their_false_positives(spark):
+    rng = random.Random(5)
+    langs = [f"l{k:02d}" for k in range(70)]  # more than one word of mask bits
+    rows = [(i, " ".join(chr(97 + (k + rng.randint(0, 9)) % 26) * 2 + chr(0x430 + k % 30) + rng.choice("aeiou") for _ in range(30)), langs[k]) for i, k in enumerate(k for _ in range(12) for k in range(70))]
+    documents = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(documents)
+    assert model.languages == langs and model.masks.shape[0] == 2
+    counts = {x: Counter() for x in langs}
+    for i, text, lang in rows:
+        if zlib.crc32(str(i).encode()) % 4 != 2:
+            counts[lang].update(langid.grams([text])[0].tolist())
+    shares = {}
+    for lang, own in counts.items():
+        twice = {g: n for g, n in own.items() if n > 1}
+        shares[lang] = {g: n / sum(twice.values()) for g, n in twice.items()}
+    most = Counter()
+    for own in shares.values():
+        for g, x in own.items():
+            most[g] = max(most[g], x)
+    exact = {lang: {g for g, x in own.items() if x >= langid.BELONGS * most[g]} for lang, own in shares.items()}
+    every = np.array(sorted(most), np.uint64)
+    found = np.bitwise_and.reduce([model.masks[:, s] for s in langid._slots(every)])
+    wrong = 0
+    for k, lang in enumerate(langs):
+        has = set(every[langid._bit(found, k) == 1].tolist())
+        assert exact[lang] <= has, lang
+        wrong += len(has - exact[lang])
+    assert wrong <= 3 + 10 * model.rates.max() * len(every) * len(langs)
+    for i, text, _ in rows[:210]:
+        own = langid.grams([text])[0].tolist()
+        hits = [sum(g in exact[x] for g in own) for x in langs]
+        assert hits[langs.index(model.predict([text])[0][0])] == max(hits), i
+
+
 def test_bloom_bits_have_every_trained_gram(spark):
     documents = spark.createDataFrame([(i, "alpha beta gamma delta", "x") for i in range(40)], "doc_id long, text string, lang string")
     model = langid.train(documents)
@@ -158,15 +192,14 @@ def test_targets_fill_by_weight(spark):
     assert got == pytest.approx(want)
 
 
-def test_mix_meets_targets(spark):
-    import random
-
+@pytest.mark.parametrize("block", [1, 3, mixing.BLOCK])
+def test_mix_meets_targets(spark, block):
     rng = random.Random(1)
     rows = [(i, "w " * rng.randint(0, 60), "src0" if i % 3 == 0 else f"s{i % 7}") for i in range(900)]
     documents = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    found = mixing.mix(documents).collect()
+    found = mixing.mix(documents, block=block).collect()
     assert len(found) == 900
-    assert sorted(map(tuple, found)) == sorted(map(tuple, mixing.mix(documents.repartition(7)).collect()))
+    assert sorted(map(tuple, found)) == sorted(map(tuple, mixing.mix(documents.repartition(7), block=block).collect()))
     per = {}
     of = {i: s for i, _, s in rows}
     for r in found:
