@@ -178,10 +178,10 @@ STEP = T.StructType([T.StructField("kind", T.StringType()), T.StructField("part"
 AT_ONCE = 64
 
 
-def _compare(doc_id: int | None, text: str, tree: Tree, following: str, next_tree: Tree) -> tuple:
+def _compare(doc_id: int | None, text: str, tree: Tree, following: str, next_tree: Tree, keep_trees: bool) -> tuple:
     changed = edited(text, following)
     other = Tree(changed)
-    return (doc_id, len(text), hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest(), tree.root, other.root, likeness(tree, other), likeness(tree, next_tree), tree.packed())
+    return (doc_id, len(text), hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest(), tree.root, other.root, likeness(tree, other), likeness(tree, next_tree), tree.packed() if keep_trees else None)
 
 
 def _batch(rows: list[tuple], schema: T.StructType) -> pa.RecordBatch:
@@ -206,10 +206,10 @@ def trees(documents: DataFrame) -> DataFrame:
     return kept.mapInArrow(run, T.StructType([kept.schema["doc_id"], T.StructField("fingerprint", T.StringType()), T.StructField("tree", T.BinaryType())]))
 
 
-def compare_with_next(documents: DataFrame) -> DataFrame:
+def compare_with_next(documents: DataFrame, keep_trees: bool = True) -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, tree) of each document of
     (doc_id, text); its next is the document below it in descending doc_id order, the last one's the first. Both
-    likenesses come from the trees alone.
+    likenesses come from the trees alone. Without keep_trees the trees are built and compared, but not stored: tree is null.
 
     Equal or null ids lie in the order of their texts' hashes, null last. Null text: empty. A single document is its own
     next; an empty table gives no rows; extra columns, whatever their names, are not read. A long text costs time and
@@ -229,7 +229,7 @@ def compare_with_next(documents: DataFrame) -> DataFrame:
                 for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                     text = text or ""
                     tree = Tree(text)
-                    rows.append(("head", part, None, *nothing, text) if before is None else ("row", part, *_compare(*before, text, tree), None))
+                    rows.append(("head", part, None, *nothing, text) if before is None else ("row", part, *_compare(*before, text, tree, keep_trees), None))
                     before = (doc_id, text, tree)
                 yield _batch(rows, STEP)
         if before is not None:
@@ -239,7 +239,7 @@ def compare_with_next(documents: DataFrame) -> DataFrame:
         for whole in batches:
             for at in range(whole.num_rows):
                 doc_id, text, following = (whole.column(i)[at].as_py() for i in range(3))
-                yield _batch([_compare(doc_id, text, Tree(text), following, Tree(following))], RESULT)
+                yield _batch([_compare(doc_id, text, Tree(text), following, Tree(following), keep_trees)], RESULT)
 
     order = (F.col("doc_id").desc_nulls_last(), F.col("merkle_tie").asc())
     dealt = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("merkle_tie"))

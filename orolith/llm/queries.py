@@ -52,7 +52,7 @@ def op6_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_merkle_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .merkle import compare_with_next
 
-    return compare_with_next(table(spark, sf_dir, "documents")).drop("tree")
+    return compare_with_next(table(spark, sf_dir, "documents"), keep_trees=False).drop("tree")
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

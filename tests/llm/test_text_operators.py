@@ -358,6 +358,8 @@ def test_neighbours_equal_brute_force(spark, odd, empty):
         want[r.doc_id] = (r.doc_id, len(own), hashlib.sha256(changed.encode()).hexdigest(), trees[0].root, trees[1].root, merkle.likeness(trees[0], trees[1]), merkle.likeness(trees[0], trees[2]), trees[0].packed())
     got = {r.doc_id: tuple(r) for r in merkle.compare_with_next(odd.where("doc_id is not null").dropDuplicates(["doc_id"])).collect()}
     assert got == want
+    bare = merkle.compare_with_next(odd.where("doc_id is not null").dropDuplicates(["doc_id"]), keep_trees=False).collect()
+    assert {r.doc_id: tuple(r) for r in bare} == {k: (*x[:-1], None) for k, x in want.items()}
     assert merkle.compare_with_next(odd).count() == odd.count()
     assert merkle.compare_with_next(empty).collect() == []
     one = merkle.compare_with_next(spark.createDataFrame([(5, "ab cd")], "doc_id long, text string")).collect()
