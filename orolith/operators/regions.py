@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
@@ -67,35 +68,61 @@ def members(cells: DataFrame, seeds: DataFrame, ties: bool = True) -> DataFrame:
     return placed.select(F.col("seed_id").alias("region_id"), "x", "y", "elevation", "landcover")
 
 
-def _clip(polygon: list[tuple], a: float, b: float, c: float, tag: int) -> list[tuple]:
-    """The part of a convex polygon with a x + b y <= c; vertices carry the tag of the edge that starts at them."""
+def _exact(value: float) -> int | Fraction:
+    """The number itself, as one that does not round."""
+    return int(value) if value == int(value) else Fraction(value)
+
+
+def _meet(p: tuple, q: tuple) -> tuple:
+    """Where two lines (a, b, c) of a x + b y = c cross: x, y and their common divisor."""
+    return p[2] * q[1] - q[2] * p[1], p[0] * q[2] - q[0] * p[2], p[0] * q[1] - q[0] * p[1]
+
+
+def _clip(polygon: list[tuple], line: tuple, tag: int) -> list[tuple]:
+    """The part of a convex polygon with a x + b y <= c. An edge is (vertex where it starts, its line, its tag); signs are
+    exact, so that a line which only touches a vertex leaves the polygon as it is."""
     out = []
     n = len(polygon)
-    values = [a * p[0] + b * p[1] - c for p in polygon]
+    a, b, c = line
+    values = [a * p[0][0] + b * p[0][1] - c * p[0][2] for p in polygon]
+    if n and max(values) <= 0:
+        return polygon
     for i in range(n):
-        p, q, v, w = polygon[i], polygon[(i + 1) % n], values[i], values[(i + 1) % n]
+        p, v, w = polygon[i], values[i], values[(i + 1) % n]
         if v <= 0:
             out.append(p)
-        if v < 0 < w or w < 0 < v:
-            s = v / (v - w)
-            cut = (p[0] + s * (q[0] - p[0]), p[1] + s * (q[1] - p[1]))
-            out.append((*cut, tag) if v < 0 else (*cut, p[2]))
+        if v < 0 < w:
+            out.append((_meet(p[1], line), line, tag))
+        elif w < 0 < v:
+            out.append((_meet(line, p[1]), p[1], p[2]))
         elif v == 0 and w > 0:
-            out[-1] = (p[0], p[1], tag)
+            out[-1] = (p[0], line, tag)
     return out
 
 
-def _cell(seed: tuple, others: np.ndarray, box: tuple[float, float, float, float]) -> tuple[list[tuple], bool]:
-    """The Voronoi cell of a seed among others (rows id, x, y, sorted by distance) in a box; whether others suffice."""
-    x0, y0, x1, y1 = box
-    polygon = [(x0, y0, -1), (x1, y0, -1), (x1, y1, -1), (x0, y1, -1)]
-    _, sx, sy = seed
+def _around(polygon: list[tuple]) -> list[tuple[float, float]]:
+    """A polygon's vertices, as seen from its seed."""
+    return [(p[0][0] / p[0][2], p[0][1] / p[0][2]) for p in polygon]
+
+
+def _cell(seed: tuple, others: list[tuple], box: tuple[float, float, float, float]) -> list[tuple]:
+    """The Voronoi cell of a seed (x, y) among others (id, x, y), sorted by distance, in a box; as seen from the seed."""
+    sx, sy = map(_exact, seed)
+    x0, y0, x1, y1 = map(_exact, box)
+    lines = [(0, -1, sy - y0), (1, 0, x1 - sx), (0, 1, y1 - sy), (-1, 0, sx - x0)]
+    polygon = [(_meet(lines[i - 1], lines[i]), lines[i], -1) for i in range(4)]
+    reach = None
     for other, ox, oy in others:
-        reach = max((p[0] - sx) ** 2 + (p[1] - sy) ** 2 for p in polygon)
-        if (ox - sx) ** 2 + (oy - sy) ** 2 > 4 * reach:
-            return polygon, True
-        polygon = _clip(polygon, 2 * (ox - sx), 2 * (oy - sy), ox * ox + oy * oy - sx * sx - sy * sy, int(other))
-    return polygon, False
+        dx, dy = _exact(ox) - sx, _exact(oy) - sy
+        d2 = dx * dx + dy * dy
+        if reach is None:
+            reach = max((x * x + y * y for x, y in _around(polygon)), default=0.0)
+        if d2 > 4.000001 * reach:
+            break
+        cut = _clip(polygon, (2 * dx, 2 * dy, d2), int(other))
+        if cut is not polygon:
+            polygon, reach = cut, None
+    return polygon
 
 
 POLYGONS = "seed_id long, polygon array<struct<x: double, y: double>>, neighbours array<long>, is_bounded boolean, complete boolean"
@@ -122,12 +149,13 @@ def voronoi(seeds: DataFrame, box: tuple[float, float, float, float] | None = No
         for seed in own[["seed_id", "x", "y"]].itertuples(index=False):
             d = (rows[:, 1] - seed.x) ** 2 + (rows[:, 2] - seed.y) ** 2
             order = np.argsort(d, kind="stable")
-            polygon, settled = _cell((seed.seed_id, seed.x, seed.y), rows[order][d[order] > 0], bounds)
-            far = max((p[0] - seed.x) ** 2 + (p[1] - seed.y) ** 2 for p in polygon)
+            polygon = _cell((seed.x, seed.y), rows[order][d[order] > 0].tolist(), bounds)
+            spots = _around(polygon)
+            far = max((x * x + y * y for x, y in spots), default=0.0)
             tx, ty = seed.x // step, seed.y // step
             margin = min(seed.x - (tx - 1) * step, (tx + 2) * step - seed.x, seed.y - (ty - 1) * step, (ty + 2) * step - seed.y)
-            tags = sorted({int(p[2]) for p in polygon if p[2] >= 0})
-            out.append((seed.seed_id, [{"x": float(p[0]), "y": float(p[1])} for p in polygon], tags, all(p[2] >= 0 for p in polygon), bool(all_of or 4 * far <= margin**2)))
+            tags = sorted({p[2] for p in polygon if p[2] >= 0})
+            out.append((seed.seed_id, [{"x": float(seed.x + x), "y": float(seed.y + y)} for x, y in spots], tags, all(p[2] >= 0 for p in polygon), bool(all_of or 4 * far <= margin**2)))
         return pd.DataFrame(out, columns=["seed_id", "polygon", "neighbours", "is_bounded", "complete"])
 
     def kernel(all_of: bool, step: float):

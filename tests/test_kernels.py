@@ -250,3 +250,12 @@ def test_array_raster(spark, tmp_path):
     np.save(tmp_path / "c.npy", c)
     rows = sources.read_arrays(spark, str(tmp_path / "z.npy"), str(tmp_path / "c.npy")).collect()
     assert {(r.x, r.y, r.elevation, r.landcover) for r in rows} == {(x, y, float(z[y, x]), 1) for y in range(3) for x in range(4)}
+
+
+def test_seeds_that_meet_in_a_point_share_no_ridge(spark):
+    """Four corners of a square meet in one point, wherever it lies and however far the box is."""
+    spots = [(10 * i, 10 * j) for i in range(5) for j in range(6)]
+    seeds = spark.createDataFrame([(k, x, y) for k, (x, y) in enumerate(spots)], "seed_id long, x int, y int")
+    inner = {(x, y): k for k, (x, y) in enumerate(spots) if 0 < x < 40 and 0 < y < 50}
+    rook = {(k, inner[x + dx, y + dy]) for (x, y), k in inner.items() for dx, dy in ((10, 0), (-10, 0), (0, 10), (0, -10)) if (x + dx, y + dy) in inner}
+    assert {(r.src, r.dst) for r in regions.ridge_adjacency(regions.voronoi(seeds, (-30080.0, -30080.0, 30390.0, 30550.0))).collect()} == rook
