@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from fractions import Fraction
 
 import numpy as np
@@ -125,56 +126,94 @@ def _cell(seed: tuple, others: list[tuple], box: tuple[float, float, float, floa
     return polygon
 
 
-POLYGONS = "seed_id long, polygon array<struct<x: double, y: double>>, neighbours array<long>, is_bounded boolean, complete boolean"
+POLYGONS = "seed_id long, polygon array<struct<x: double, y: double>>, neighbours array<long>, is_bounded boolean"
+
+#: What a seed's cell is so far: those that bound it, and whether no other seed can cut it.
+CELLS = f"{POLYGONS}, x double, y double, around array<struct<seed_id: long, x: double, y: double>>, settled boolean"
+
+#: Seeds that may cut a cell meet it so many at a time, nearest first; four times as many each time.
+AT_ONCE = 64
+
+
+def _row(seed: tuple, others: list[tuple], bounds: tuple[float, float, float, float], settled: Callable[[float], bool]) -> tuple:
+    """A row of CELLS, of a seed (id, x, y) among others (id, x, y), sorted by distance; settled takes the square of the
+    distance of the cell's farthest vertex."""
+    polygon = _cell(seed[1:], others, bounds)
+    spots = _around(polygon)
+    tags = {p[2] for p in polygon if p[2] >= 0}
+    far = max((x * x + y * y for x, y in spots), default=0.0)
+    around = [{"seed_id": int(o[0]), "x": o[1], "y": o[2]} for o in others if o[0] in tags]
+    return (seed[0], [{"x": float(seed[1] + x), "y": float(seed[2] + y)} for x, y in spots], sorted(tags), all(p[2] >= 0 for p in polygon), seed[1], seed[2], around, bool(settled(far)))
 
 
 def voronoi(seeds: DataFrame, box: tuple[float, float, float, float] | None = None, side: int | None = None) -> DataFrame:
     """(seed_id, polygon, neighbours, is_bounded) of each seed: its Voronoi cell clipped to a box (by default far outside
     the seeds, so that unbounded cells are those that touch it).
 
-    A seed meets the seeds of the tiles around it and is clipped by their bisectors, nearest first, until no other can
-    reach its cell; seeds whose ring does not settle it try a ring twice as wide."""
+    A seed meets the seeds of the tiles around it and is clipped by their bisectors, nearest first. Cells that others may
+    still reach, such as those on the rim, go on: a seed cuts a cell only if it is nearer to one of its vertices than the
+    cell's own, so they meet seeds only of the tiles that come near enough to a vertex, until none cuts them."""
     seeds = stable(seeds.select("seed_id", "x", "y"))
     spread = seeds.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y"), F.count("*")).first()
     if not spread[4]:
-        return seeds.sparkSession.createDataFrame([], POLYGONS).drop("complete")
+        return seeds.sparkSession.createDataFrame([], POLYGONS)
     reach = 64.0 * max(1, spread[1] - spread[0], spread[3] - spread[2])
     bounds = box or (spread[0] - reach, spread[2] - reach, spread[1] + reach, spread[3] + reach)
-    side = side or max(1, math.ceil(math.sqrt((spread[1] - spread[0] + 1) * (spread[3] - spread[2] + 1) / spread[4]) * 2))
-    whole = 2 * max(spread[1] - spread[0], spread[3] - spread[2]) + 2
+    area = (spread[1] - spread[0] + 1) * (spread[3] - spread[2] + 1)
+    step = side or max(1, math.ceil(math.sqrt(area / spread[4]) * 4))
+    columns = [f.split(" ")[0] for f in CELLS.replace("struct<seed_id: long, x: double, y: double>", "").replace("struct<x: double, y: double>", "").split(", ")]
 
-    def cells_of(group: pd.DataFrame, all_of: bool, step: float) -> pd.DataFrame:
-        own, rows = group[group["own"]], group[["seed_id", "x", "y"]].to_numpy(float)
+    def near(group: pd.DataFrame) -> pd.DataFrame:
+        own, rows = group[group["own"]], group.loc[~group["own"], ["seed_id", "x", "y"]].to_numpy(float)
         out = []
-        for seed in own[["seed_id", "x", "y"]].itertuples(index=False):
-            d = (rows[:, 1] - seed.x) ** 2 + (rows[:, 2] - seed.y) ** 2
+        for seed_id, x, y in own[["seed_id", "x", "y"]].itertuples(index=False):
+            d = (rows[:, 1] - x) ** 2 + (rows[:, 2] - y) ** 2
             order = np.argsort(d, kind="stable")
-            polygon = _cell((seed.x, seed.y), rows[order][d[order] > 0].tolist(), bounds)
-            spots = _around(polygon)
-            far = max((x * x + y * y for x, y in spots), default=0.0)
-            tx, ty = seed.x // step, seed.y // step
-            margin = min(seed.x - (tx - 1) * step, (tx + 2) * step - seed.x, seed.y - (ty - 1) * step, (ty + 2) * step - seed.y)
-            tags = sorted({p[2] for p in polygon if p[2] >= 0})
-            out.append((seed.seed_id, [{"x": float(seed.x + x), "y": float(seed.y + y)} for x, y in spots], tags, all(p[2] >= 0 for p in polygon), bool(all_of or 4 * far <= margin**2)))
-        return pd.DataFrame(out, columns=["seed_id", "polygon", "neighbours", "is_bounded", "complete"])
-
-    def kernel(all_of: bool, step: float):
-        return lambda group: cells_of(group, all_of, step)
-
-    left, done, step = seeds, None, side
-    while True:
-        wide = step > whole
-        own = left.select("seed_id", "x", "y", F.floor(F.col("x") / step).alias("tx"), F.floor(F.col("y") / step).alias("ty"), F.lit(True).alias("own"))
-        around = seeds.select("seed_id", "x", "y", F.explode(F.expr(f"transform(sequence(0, 8), i -> struct(floor(x / {step}) + i % 3 - 1 AS tx, floor(y / {step}) + i div 3 - 1 AS ty))")).alias("t")).select("seed_id", "x", "y", "t.tx", "t.ty", F.lit(False).alias("own"))
-        wanted = own.select("tx", "ty").distinct()
-        grouped = own.unionByName(around.join(wanted, ["tx", "ty"], "left_semi")).groupBy("tx", "ty")
-        found = stable(grouped.applyInPandas(kernel(wide, step), POLYGONS))
-        ready = found.where("complete").drop("complete")
-        done = ready if done is None else done.unionByName(ready)
-        left = seeds.join(found.where("NOT complete").select("seed_id"), "seed_id", "left_semi")
-        if wide or not left.take(1):
-            return done
-        step *= 2
+            tx, ty = x // step, y // step
+            margin = min(x - (tx - 1) * step, (tx + 2) * step - x, y - (ty - 1) * step, (ty + 2) * step - y)
+            out.append(_row((seed_id, float(x), float(y)), rows[order][d[order] > 0].tolist(), bounds, lambda far, margin=margin: 4 * far <= margin**2))
+        return pd.DataFrame(out, columns=columns)
+
+    def cut(most: int):
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for frame in frames:
+                out = []
+                for r in frame.itertuples(index=False):
+                    known = {o["seed_id"]: (o["seed_id"], o["x"], o["y"]) for o in r.around}
+                    others = known | {o["seed_id"]: (o["seed_id"], o["x"], o["y"]) for o in r.others}
+                    ranked = sorted(others.values(), key=lambda o: ((o[1] - r.x) ** 2 + (o[2] - r.y) ** 2, o[0]))
+                    row = _row((r.seed_id, r.x, r.y), ranked, bounds, lambda far: False)
+                    all_met = len(r.others) < most and set(row[2]) == set(known)
+                    out.append((*row[:-1], all_met))
+                yield pd.DataFrame(out, columns=columns)
+
+        return run
+
+    own = seeds.select("seed_id", "x", "y", F.floor(F.col("x") / step).alias("tx"), F.floor(F.col("y") / step).alias("ty"), F.lit(True).alias("own"))
+    around = seeds.select("seed_id", "x", "y", F.explode(F.expr(f"transform(sequence(0, 8), i -> struct(floor(x / {step}) + i % 3 - 1 AS tx, floor(y / {step}) + i div 3 - 1 AS ty))")).alias("t")).select("seed_id", "x", "y", "t.tx", "t.ty", F.lit(False).alias("own"))
+    wanted = own.select("tx", "ty").distinct()
+    found = stable(own.unionByName(around.join(wanted, ["tx", "ty"], "left_semi")).groupBy("tx", "ty").applyInPandas(near, CELLS))
+    done = [found.where("settled")]
+    left, most = found.where("NOT settled"), 0
+    wide = math.ceil(math.sqrt(area / math.sqrt(spread[4])))  # as many tiles as a tile has seeds
+    placed = seeds.select("seed_id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), F.floor(F.col("x") / wide).alias("tx"), F.floor(F.col("y") / wide).alias("ty"))
+    tiles = stable(placed.groupBy("tx", "ty").agg(*[f(c).alias(f"{c}{k}") for c in "xy" for k, f in (("0", F.min), ("1", F.max))], F.min(F.struct("seed_id", "x", "y")).alias("o")))
+    slack = "1e-11 * (1 + abs(v.x - x) + abs(v.y - y))"
+    reaches = f"exists(polygon, v -> pow(greatest(x0 - x, least(x1 - x, v.x - x)), 2) - 2 * (v.x - x) * greatest(x0 - x, least(x1 - x, v.x - x)) + pow(greatest(y0 - y, least(y1 - y, v.y - y)), 2) - 2 * (v.y - y) * greatest(y0 - y, least(y1 - y, v.y - y)) < {slack} * (1 + abs(x0 - x) + abs(x1 - x) + abs(y0 - y) + abs(y1 - y)))"
+    cuts = f"(o.x <> x OR o.y <> y) AND exists(polygon, v -> (o.x - x) * (o.x - x - 2 * (v.x - x)) + (o.y - y) * (o.y - y - 2 * (v.y - y)) < {slack} * (1 + abs(o.x - x) + abs(o.y - y)))"
+    while left.take(1):
+        open_ = left.select("seed_id", "x", "y", "polygon")
+        met = open_.join(tiles).where(reaches)
+        if most:  # the first time each tile's first seed, so that few tiles are left
+            met = met.drop("o").join(placed.select("tx", "ty", F.struct("seed_id", "x", "y").alias("o")).hint("merge"), ["tx", "ty"])
+        nearest_first = W.partitionBy("seed_id").orderBy((F.col("o.x") - F.col("x")) ** 2 + (F.col("o.y") - F.col("y")) ** 2, "o.seed_id")
+        ranked = met.where(cuts).select("seed_id", "o", F.row_number().over(nearest_first).alias("nth"))
+        lists = (ranked.where(F.col("nth") <= most) if most else ranked).groupBy("seed_id").agg(F.collect_list("o").alias("others"))
+        joined = left.join(lists, "seed_id", "left").withColumn("others", F.coalesce("others", F.array().cast("array<struct<seed_id: bigint, x: double, y: double>>")))
+        found = stable(joined.mapInPandas(cut(most), CELLS))
+        done.append(found.where("settled"))
+        left, most = found.where("NOT settled"), max(AT_ONCE, 4 * most)
+    return functools.reduce(DataFrame.unionByName, done).select("seed_id", "polygon", "neighbours", "is_bounded")
 
 
 def ridge_adjacency(cells_of: DataFrame, bounded: bool = True) -> DataFrame:

@@ -259,3 +259,17 @@ def test_seeds_that_meet_in_a_point_share_no_ridge(spark):
     inner = {(x, y): k for k, (x, y) in enumerate(spots) if 0 < x < 40 and 0 < y < 50}
     rook = {(k, inner[x + dx, y + dy]) for (x, y), k in inner.items() for dx, dy in ((10, 0), (-10, 0), (0, 10), (0, -10)) if (x + dx, y + dy) in inner}
     assert {(r.src, r.dst) for r in regions.ridge_adjacency(regions.voronoi(seeds, (-30080.0, -30080.0, 30390.0, 30550.0))).collect()} == rook
+
+
+def test_rim_cells_of_far_groups(spark):
+    """Two grids far apart, and a lone seed: each cell is that among all seeds at once."""
+    spots = [(x + 10 * i, y + 10 * j) for x, y in ((0, 0), (7000, 313)) for i in range(6) for j in range(7)] + [(3001, 5003)]
+    seeds = spark.createDataFrame([(k, x, y) for k, (x, y) in enumerate(spots)], "seed_id long, x int, y int")
+    box = (-450000.0, -330000.0, 460000.0, 340000.0)
+    want = {}
+    for k, (x, y) in enumerate(spots):
+        others = sorted(((i, *p) for i, p in enumerate(spots) if i != k), key=lambda o: (o[1] - x) ** 2 + (o[2] - y) ** 2)
+        tags = {p[2] for p in regions._cell((x, y), others, box)}
+        want[k] = (sorted(tags - {-1}), -1 not in tags)
+    assert {r.seed_id: (r.neighbours, r.is_bounded) for r in regions.voronoi(seeds, box).collect()} == want
+    assert sum(len(n) for n, _ in want.values()) == sum(k in want[i][0] for k in want for i in want[k][0])
