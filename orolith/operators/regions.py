@@ -268,7 +268,7 @@ def quadtree(cells: DataFrame, min_size: int = 1) -> DataFrame:
         done = leaves if done is None else done.unionByName(leaves)
         if not blocks.where("NOT leaf").take(1):
             return done
-        split = here.join(blocks.where("NOT leaf").select("bx", "by", "w", "h"), ["bx", "by", "w", "h"])
+        split = here.join(blocks.where("NOT leaf").select("bx", "by", "w", "h").hint("merge"), ["bx", "by", "w", "h"])  # files of blocks are far smaller than their rows
         hw, hh = F.greatest(F.floor(F.col("w") / 2), F.least(F.col("w"), F.lit(1))), F.greatest(F.floor(F.col("h") / 2), F.least(F.col("h"), F.lit(1)))
         right, low = F.col("x") >= F.col("bx") + hw, F.col("y") >= F.col("by") + hh
         here = split.select("x", "y", "landcover", (F.col("bx") + F.when(right, hw).otherwise(0)).cast("int").alias("bx"), (F.col("by") + F.when(low, hh).otherwise(0)).cast("int").alias("by"), F.when(right, F.col("w") - hw).otherwise(hw).cast("int").alias("w"), F.when(low, F.col("h") - hh).otherwise(hh).cast("int").alias("h"))
@@ -281,8 +281,9 @@ def rectangle_cells(rectangles: DataFrame) -> DataFrame:
 
 
 def describe_patches(cells: DataFrame, rectangles: DataFrame) -> DataFrame:
-    """(x, y, w, h, landcover, avg_elevation): the most frequent class (least on ties) and mean elevation."""
-    inner = rectangle_cells(rectangles).join(cells.select(F.col("x").alias("px"), F.col("y").alias("py"), "elevation", "landcover"), ["px", "py"])
+    """(x, y, w, h, landcover, avg_elevation): the most frequent class (least on ties) and mean elevation. A row of
+    rectangles stands for many cells, so neither side is broadcast, whatever its estimated size."""
+    inner = rectangle_cells(rectangles).hint("merge").join(cells.select(F.col("x").alias("px"), F.col("y").alias("py"), "elevation", "landcover"), ["px", "py"])
     return inner.groupBy("x", "y", "w", "h").agg(F.mode("landcover", True).alias("landcover"), F.avg("elevation").alias("avg_elevation"))
 
 
@@ -292,7 +293,7 @@ def rectangle_adjacency(rectangles: DataFrame, diagonal: bool = True, tile: int
     reach = F.expr(f"flatten(transform(sequence(floor((x - 1) / {tile}), floor((x + w) / {tile})), i -> transform(sequence(floor((y - 1) / {tile}), floor((y + h) / {tile})), j -> struct(i AS tx, j AS ty))))")
     dealt = rectangles.withColumn("t", F.explode(reach)).select("patch_id", "x", "y", "w", "h", "t.tx", "t.ty")
     other = dealt.select(F.col("patch_id").alias("other"), F.col("x").alias("ox"), F.col("y").alias("oy"), F.col("w").alias("ow"), F.col("h").alias("oh"), "tx", "ty")
-    met = dealt.join(other, ["tx", "ty"]).where("patch_id <> other AND x <= ox + ow AND ox <= x + w AND y <= oy + oh AND oy <= y + h")
+    met = dealt.hint("merge").join(other, ["tx", "ty"]).where("patch_id <> other AND x <= ox + ow AND ox <= x + w AND y <= oy + oh AND oy <= y + h")
     if not diagonal:
         met = met.where("least(x + w, ox + ow) > greatest(x, ox) OR least(y + h, oy + oh) > greatest(y, oy)")
     return met.select("patch_id", "other").distinct()

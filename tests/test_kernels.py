@@ -297,3 +297,14 @@ def test_spacing_across_tiles(spark, monkeypatch, metric):
     ranked = spark.createDataFrame([(x, y, r) for (x, y), r in spots.items()], "x int, y int, rank struct<a: int, b: int, c: int>")
     assert {(r.x, r.y) for r in sampling.spaced(ranked, 3, metric).collect()} == set(want)
     assert [(r.x, r.y) for r in sampling.spaced(ranked, 3, metric, count=20).orderBy("rank").limit(20).collect()] == want[:20]
+
+
+def joins_of(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return plan.count("BroadcastHashJoin"), plan.count("SortMergeJoin")
+
+
+def test_cells_of_patches_are_not_broadcast(spark, rough):
+    """Rectangles are few bytes, their cells are not."""
+    patches = spark.createDataFrame([(0, 0, 9, 7), (9, 0, 8, 7)], "x int, y int, w int, h int")
+    assert joins_of(regions.describe_patches(rough, patches)) == (0, 1)
