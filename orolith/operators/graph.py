@@ -22,9 +22,10 @@ MOST_EDGES = 2_000_000
 
 def steps(segments: DataFrame, cells: DataFrame, keys: list[str]) -> DataFrame:
     """keys with step, x1, y1, z1, lc1, x2, y2, z2 for each pair of consecutive pixels on the line of each segment (keys,
-    x0, y0, x1, y1). One join with the cells; the next pixel comes by a frame over the segment."""
+    x0, y0, x1, y1). One join with the cells, by sort: a segment
+    is few bytes, its pixels are many. The next pixel comes by a frame over the segment."""
     pixels = segments.select(*keys, F.explode(line_pixels(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"))).alias("p")).select(*keys, F.col("p.seq").alias("step"), "p.x", "p.y")
-    valued = pixels.join(cells.select("x", "y", F.col("elevation").alias("z"), F.col("landcover").alias("lc")), ["x", "y"])
+    valued = pixels.hint("merge").join(cells.select("x", "y", F.col("elevation").alias("z"), F.col("landcover").alias("lc")), ["x", "y"])
     ahead = W.partitionBy(*keys).orderBy("step")
     paired = valued.select(*keys, "step", F.col("x").alias("x1"), F.col("y").alias("y1"), F.col("z").alias("z1"), F.col("lc").alias("lc1"), *[F.lead(c).over(ahead).alias(f"{c}2") for c in ("x", "y", "z")])
     return paired.where("x2 IS NOT NULL")
@@ -54,7 +55,7 @@ def edges(adjacency: DataFrame, seeds: DataFrame, cells: DataFrame, model: str =
     """(src, dst, weight) of (src, dst): both directions priced on their own; lines may differ by direction."""
     a = seeds.select(F.col("seed_id").alias("src"), F.floor("x").cast("int").alias("x0"), F.floor("y").cast("int").alias("y0"))
     b = seeds.select(F.col("seed_id").alias("dst"), F.floor("x").cast("int").alias("x1"), F.floor("y").cast("int").alias("y1"))
-    return price(adjacency.join(a, "src").join(b, "dst"), cells, ["src", "dst"], model, stepped)
+    return price(adjacency.hint("merge").join(a, "src").hint("merge").join(b, "dst"), cells, ["src", "dst"], model, stepped)
 
 
 class Network:

@@ -308,3 +308,9 @@ def test_cells_of_patches_are_not_broadcast(spark, rough):
     """Rectangles are few bytes, their cells are not."""
     patches = spark.createDataFrame([(0, 0, 9, 7), (9, 0, 8, 7)], "x int, y int, w int, h int")
     assert joins_of(regions.describe_patches(rough, patches)) == (0, 1)
+
+
+def test_pixels_of_edges_are_not_broadcast(spark, rough):
+    seeds = spark.createDataFrame([(0, 1, 1), (1, 9, 5)], "seed_id long, x int, y int")
+    pairs = spark.createDataFrame([(0, 1), (1, 0)], "src long, dst long")
+    assert joins_of(graph.edges(pairs, seeds, rough))[0] == 0
