@@ -21,7 +21,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: 5-word shingles, similarity of 0.8 or more."""
+    """One document of each group of near copies stays: 5-word shingles, similarity of 0.8 or more. Candidates come from SimHash,
+    those that its radius does not reach from MinHash bands; exact shingle sets decide."""
     return simhash.first_of_each(docs, shingles.near_copies(docs))
 
 

@@ -39,7 +39,11 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
         return 0
     join, digest = b" ".join, xxhash.xxh64_intdigest
     parts = zip(*(words[k:] for k in range(shingle)), strict=False) if len(words) >= shingle else [words]
-    hashes = np.array([digest(join(p), SEED) for p in parts], "<u8")
+    return of_hashes(np.array([digest(join(p), SEED) for p in parts], "<u8"))
+
+
+def of_hashes(hashes: np.ndarray) -> int:
+    """The SimHash of 64-bit hashes; of none: 0."""
     n = len(hashes)
     planes = hashes.view(np.uint8).reshape(n, 8)
     if n < 2048:

@@ -1,7 +1,7 @@
 import random
 
 import corpus_pipeline
-from orolith.llm import shingles
+from orolith.llm import shingles, simhash
 
 
 def slow_components(texts):
@@ -51,6 +51,28 @@ def test_stage_drops_near_copies(spark):
     assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, documents, "").collect()) == sorted(set(slow_components(texts)))
 
 
+def test_simhash_links_the_stage(spark, monkeypatch):
+    """Without the bands the stage drops just the similar copies within SimHash's radius."""
+    rng = random.Random(6)
+    none = lambda ddl: spark.createDataFrame([], ddl)
+    monkeypatch.setattr(shingles, "band_pairs", lambda *_: (none("a long, b long, round int"), none("key long, fp long")), raising=False)
+    texts, dropped, similar = [], 0, 0
+    for k in range(60):
+        base = [f"w{rng.randrange(5000)}" for _ in range(150)]
+        copy = list(base)
+        for at in rng.sample(range(150), 1 + k % 3):
+            copy[at] = f"w{rng.randrange(5000)}"
+        texts += [" ".join(base), " ".join(copy)]
+        x, y = (shingles.shingle_set(t) for t in texts[-2:])
+        both = len(set(x.tolist()) & set(y.tolist()))
+        alike = both >= 0.8 * (len(x) + len(y) - both)
+        similar += alike
+        dropped += alike and (simhash.of_hashes(x) ^ simhash.of_hashes(y)).bit_count() <= shingles.RADIUS
+    assert 0 < dropped < similar
+    documents = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert corpus_pipeline.near_dedup(spark, documents, "").count() == len(texts) - dropped
+
+
 def test_crowded_pairs_lose_no_similar_pair(spark, monkeypatch):
     """One bucket of families whose members are 0.6 to 1 alike, shingles that all texts share, and lists over many blocks."""
     rng = random.Random(8)
