@@ -24,6 +24,10 @@ from .common import claim, fresh, stable
 
 SEED = 42
 RADIUS = 3
+#: Up to so many links (8 MB) one task unites; more take rounds of shuffles.
+AT_HAND = 1 << 19
+#: Rows that such a task writes at a time.
+MOST_ROWS = 100_000
 
 
 def text_tie() -> Column:
@@ -199,10 +203,33 @@ def hamming_links(distinct: DataFrame, radius: int = RADIUS, leaf: int = 4096) -
     return found.distinct()
 
 
+def _unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, root) of all links of a task, roots left out: ends take the least root at hand, again and again."""
+    ends = [np.stack([np.asarray(c) for c in batch.columns]) for batch in batches if batch.num_rows]
+    if not ends:
+        return
+    nodes, at = np.unique(np.concatenate(ends, axis=1), return_inverse=True)
+    a, b = at.reshape(2, -1)
+    root = np.arange(len(nodes))
+    while (open_ := root[a] != root[b]).any():
+        x, y = root[a[open_]], root[b[open_]]
+        least = np.minimum(x, y)
+        np.minimum.at(root, x, least)
+        np.minimum.at(root, y, least)
+        while (up := root[root]).tolist() != root.tolist():
+            root = up
+    moved = np.flatnonzero(root != np.arange(len(nodes)))
+    for k in range(0, len(moved), MOST_ROWS):
+        part = moved[k : k + MOST_ROWS]
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[part], pa.int64()), pa.array(nodes[root[part]], pa.int64())], names=["node", "root"])
+
+
 def components(links: DataFrame, most_rounds: int = 100) -> DataFrame:
-    """(node, root): the smallest node that each node of links (a, b) reaches, by alternating large-star and small-star
-    rounds; each round is kept in the shared folder."""
+    """(node, root): the smallest node that each node of links (a, b) reaches. Up to AT_HAND links are united in a task, more
+    by alternating large-star and small-star rounds; each round is kept in the shared folder."""
     links = stable(links.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    if links.count() <= AT_HAND:
+        return links.coalesce(1).mapInArrow(_unite, "node long, root long")
     before = None
     for _ in range(most_rounds):
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -256,8 +283,13 @@ def first_of_each(documents: DataFrame, found: DataFrame) -> DataFrame:
     an id, then of the smallest text hash. Different texts that share a doc_id are told apart; of rows that share both one
     stays. Columns are untouched, whatever their names."""
     own, kept_id, kept_tie = fresh(documents, "dedup_tie", "dedup_id", "dedup_kept")
-    least = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie")).alias("x"))
-    kept = stable(least.select(F.col("x.doc_id").alias(kept_id), F.col("x.tie").alias(kept_tie)))
+    rows = found.groupBy("root", "doc_id", "tie").agg(F.count("*").alias("n"))
+    least = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie", "n")).alias("x"))
+    kept = stable(least.select(F.col("x.doc_id").alias(kept_id), F.col("x.tie").alias(kept_tie), F.col("x.n").alias("n")))
     tied = documents.withColumn(own, text_tie())
-    joined = tied.join(kept, F.col("doc_id").eqNullSafe(F.col(kept_id)) & (F.col(own) == F.col(kept_tie)), "left_semi")
-    return joined.dropDuplicates(["doc_id", own]).select(*documents.columns)
+    same = F.col("doc_id").eqNullSafe(F.col(kept_id)) & (F.col(own) == F.col(kept_tie))
+    out = tied.join(kept.where("n = 1").drop("n"), same, "left_semi")
+    repeated = kept.where("n > 1").drop("n")
+    if repeated.take(1):  # else the texts need no second shuffle
+        out = out.unionByName(tied.join(repeated, same, "left_semi").dropDuplicates(["doc_id", own]))
+    return out.select(*documents.columns)

@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 import pytest
 import xxhash
@@ -76,3 +78,27 @@ def test_deduplicate_keeps_one_of_each_group(odd, empty):
     assert {r.doc_id for r in kept.collect()} == parts
     assert kept.count() == len(parts)
     assert simhash.deduplicate(empty).count() == 0
+
+
+def test_few_links_are_united_in_a_task(spark, monkeypatch):
+    """As the rounds do, but with one table in the shared folder."""
+    rng = random.Random(9)
+    pairs = [(rng.randrange(-400, 400), rng.randrange(-400, 400)) for _ in range(350)] + [(k, k + 1) for k in range(1000, 1100)]
+    links = spark.createDataFrame(pairs, "a long, b long").repartition(3)
+    made, stable = [], simhash.stable
+    monkeypatch.setattr(simhash, "stable", lambda df: made.append(1) or stable(df))
+    got = sorted(simhash.components(links).collect())
+    assert len(made) == 1
+    monkeypatch.setattr(simhash, "AT_HAND", 0)
+    assert got == sorted(simhash.components(links).collect())
+    assert len(made) > 2
+    assert simhash.components(links.where("a = b")).count() == 0
+
+
+def test_first_of_each_shuffles_texts_again_only_for_repeated_rows(spark):
+    rows = [(1, "a b c", "x"), (2, "a b c", "y"), (3, "d", "z")]
+    for more, again in (([], False), ([rows[0], rows[2]], True)):
+        documents = spark.createDataFrame(rows + more, "doc_id long, text string, lang string")
+        out = simhash.deduplicate(documents)
+        assert sorted(out.collect()) == [rows[0], rows[2]]
+        assert ("Deduplicate" in out._jdf.queryExecution().analyzed().toString()) == again
