@@ -14,7 +14,6 @@ by prefix and position filters, which lose no similar pair (see `crowded_pairs`)
 
 from __future__ import annotations
 
-import contextlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -24,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import claim, release, scratch_path, stable
+from .common import claim, release, scratch_path, small_batches, stable
 from .simhash import SEED, components, hamming_links, named, of_hashes, text_tie
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -161,18 +160,6 @@ def _filter(nodes: DataFrame) -> np.ndarray:
     return out.view(np.uint8)
 
 
-@contextlib.contextmanager
-def _small_batches(spark: SparkSession) -> Iterator[None]:
-    """What runs within hands workers AT_ONCE rows at a time, or fewer if the session says so."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, AT_ONCE if int(before) <= 0 else min(AT_ONCE, int(before)))
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
-
-
 def _tabled(df: DataFrame, label: str) -> DataFrame:
     """The rows of df as a table in the shared folder, whose size Spark knows: it is broadcast only below the session's
     threshold, else joined by a shuffle."""
@@ -434,7 +421,7 @@ def near_copies(documents: DataFrame, shingle: int = SHINGLE, similarity: float
     path = scratch_path(spark, "shingles")
     kept = documents.select("doc_id", "text", text_tie().alias("tie"))
     added = T.StructType.fromDDL("tie long, fp long, n long, sim long, keys array<long>")
-    with _small_batches(spark):  # everything that workers do is done within
+    with small_batches(spark, AT_ONCE):  # everything that workers do is done within
         kept.mapInArrow(_sketch(shingle), T.StructType([kept.schema["doc_id"], *added.fields])).write.parquet(path)
         sketched = spark.read.parquet(path)
         nodes = _tabled(sketched.where("keys IS NOT NULL").select("fp", "n", "sim", "keys").dropDuplicates(["fp"]), "shingle-nodes")

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import held, scratch_path
+from .common import claim, held, scratch_path, small_batches
 
 #: Fixed values of the format: ids per word and bits per id, by selector; 15 is the escape.
 COUNTS = (60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1)
@@ -210,7 +210,7 @@ class Encoder:
     A key is a piece or word; a space stands before it unless it begins with BARE.
     """
 
-    def __init__(self, path: str, remember: int = 600_000):
+    def __init__(self, path: str, remember: int = 300_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -322,8 +322,9 @@ def encoder(path: str) -> Encoder:
     return held(("encoder", path), lambda: Encoder(path))
 
 
-#: Texts encoded at a time.
-AT_ONCE = 1024
+#: Texts handed to a worker and encoded at a time: what is built on the way takes several times their ids' memory, and the
+#: batch is held once more by each end of the pipe.
+AT_ONCE = 256
 
 
 def encoded(batches: Iterator[pa.RecordBatch], tokenizer_path: str, end_id: int) -> Iterator[tuple[int | None, int, bytes]]:
@@ -371,7 +372,8 @@ def write_ids(documents: DataFrame, path: str, tokenizer_path: str, block_ids: i
             yield row()
 
     dealt = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id")
-    dealt.sortWithinPartitions("doc_id", F.xxhash64("text")).mapInArrow(run, BLOCKS).write.parquet(path)
+    with small_batches(documents.sparkSession, AT_ONCE):
+        dealt.sortWithinPartitions("doc_id", F.xxhash64("text")).mapInArrow(run, BLOCKS).write.parquet(path)
 
 
 DIGESTS = T.StructType([T.StructField(n, T.LongType()) for n in ("part", "block", "place", "doc_id", "before", "n_tokens", "ids_crc32")])
@@ -394,6 +396,7 @@ def read_digests(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of each document, from the blocks: start is the number of ids before it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("token-digests")  # the encoder goes
         for batch in batches:
             for part, block, docs, payload in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 ids, counts = read_block(payload)

@@ -52,6 +52,33 @@ def test_encoder_remembers_within_bounds():
         assert max(map(len, coder.rows)) <= tokenbin.LONGEST
 
 
+def test_encoding_many_texts_takes_little_memory():
+    import tracemalloc
+
+    rng = random.Random(8)
+    words = ["".join(rng.choices("abcdefgh", k=rng.randint(1, 7))) for _ in range(2000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(2048)), pa.array([" ".join(rng.choices(words, k=400)) for _ in range(2048)])], names=["doc_id", "text"])
+    tokenbin.encoder(BYTE).encode(batch.column(1).slice(0, 256))
+    tracemalloc.start()
+    n = sum(len(data) for _, _, data in tokenbin.encoded(iter([batch]), BYTE, 2))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n > 1_000_000
+    assert peak < 20e6
+
+
+def test_texts_go_to_workers_in_small_batches(spark, odd, tmp_path, monkeypatch):
+    from pyspark.sql import DataFrameWriter
+
+    key, seen, write = "spark.sql.execution.arrow.maxRecordsPerBatch", [], DataFrameWriter.parquet
+    before = spark.conf.get(key)
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, *a, **k: (seen.append(int(spark.conf.get(key))), write(self, *a, **k))[1])
+    tokenbin.write_ids(odd, str(tmp_path / "ids"), BYTE)
+    assert seen == [tokenbin.AT_ONCE]
+    assert tokenbin.AT_ONCE <= 512
+    assert spark.conf.get(key) == before
+
+
 def brute(rows):
     library, start, out = Tokenizer.from_file(BYTE), 0, []
     for doc_id, text in rows:
