@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import claim, release, scratch_path, small_batches, stable
+from .common import claim, release, scratch_path, small_batches, stable, tabled
 from .simhash import SEED, components, hamming_links, named, of_hashes, text_tie
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -163,9 +163,7 @@ def _filter(nodes: DataFrame) -> np.ndarray:
 def _tabled(df: DataFrame, label: str) -> DataFrame:
     """The rows of df as a table in the shared folder, whose size Spark knows: it is broadcast only below the session's
     threshold, else joined by a shuffle."""
-    path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return tabled(df, scratch_path(df.sparkSession, label))
 
 
 def _edges(a: Column, b: Column) -> list[Column]:
@@ -375,8 +373,10 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float = SIMILARITY,
     spare = "cell" in pairs.columns
     if not spare:
         pairs = _tabled(pairs.select("a", "b"), "shingle-todo")
-        parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / CELL).alias("parts"))
-        pairs = pairs.join(parts, "a").select("a", "b", F.lit(0).alias("round"), F.xxhash64("a", F.pmod(F.xxhash64("b"), "parts")).alias("cell"))
+        many = pairs.groupBy("a").agg(F.ceil(F.count("*") / CELL).alias("parts")).where("parts > 1")  # few nodes have so many pairs
+        split = F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1)))
+        # read twice, as pairs and as what they need; joined once
+        pairs = _tabled(pairs.join(many, "a", "left").select("a", "b", F.lit(0).alias("round"), F.xxhash64("a", split).alias("cell")), "shingle-cells")
     needs = pairs.select("cell", F.explode(F.array("a", "b")).alias("fp")).distinct()
     told = needs.join(sets.toDF("fp", "packed"), "fp").select("cell", F.lit(-1).alias("round"), F.col("fp").alias("a"), F.lit(0).cast("long").alias("b"), "packed")
     rows = told.unionByName(pairs.select("cell", "round", "a", "b", F.lit(None).cast("binary").alias("packed")))

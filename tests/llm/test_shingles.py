@@ -106,6 +106,18 @@ def test_crowded_pairs_lose_no_similar_pair(spark, monkeypatch):
     assert shingles.crowded_pairs(crowds, settled, table) is None
 
 
+def test_pairs_are_dealt_to_cells_once(spark, monkeypatch):
+    """The pairs are joined to their nodes' counts in one place, not once more for the sets that they need; none is lost."""
+    monkeypatch.setattr(shingles, "CELL", 4)
+    base = [f"w{k}" for k in range(100)]
+    sets = {i: shingles.shingle_set(" ".join(base + [f"x{i}"] * (i % 3))) for i in range(12)}
+    pairs = [(i, j) for i in sets for j in sets if i < j]
+    table = spark.createDataFrame([(i, bytearray(x.tobytes())) for i, x in sets.items()], "fp long, packed binary")
+    found = shingles.verified(spark.createDataFrame(pairs, "a long, b long"), table)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
+    assert sorted((r.a, r.b) for r in found.collect()) == pairs
+
+
 def test_near_copies_of_odd_rows(odd, empty):
     assert shingles.near_copies(odd).count() == odd.count()
     assert shingles.near_copies(empty).collect() == []
