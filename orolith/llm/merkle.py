@@ -19,7 +19,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import claim, stable
+from .common import claim, scratch_path, tabled
 
 SENTENCE = re.compile(r"[^.!?]*[.!?]+\s*|[^.!?]+")
 LONG = 400
@@ -243,7 +243,8 @@ def compare_with_next(documents: DataFrame, keep_trees: bool = True) -> DataFram
 
     order = (F.col("doc_id").desc_nulls_last(), F.col("merkle_tie").asc())
     dealt = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("merkle_tie"))
-    steps = stable(dealt.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text").mapInArrow(within, STEP))
+    ranges = dealt.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
+    steps = tabled(ranges.mapInArrow(within, STEP), scratch_path(documents.sparkSession, "merkle-steps"))
     heads = steps.where("kind = 'head'").select("part", F.col("text").alias("following"))
     parts = heads.select("part").select("part", F.coalesce(F.lead("part").over(W.orderBy("part")), F.min("part").over(W.partitionBy())).alias("next_part"))  # a row for each range
     opened = steps.where("kind = 'open'").select("part", "doc_id", "text").join(parts, "part")

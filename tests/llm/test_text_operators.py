@@ -328,6 +328,19 @@ def test_merkle_likeness_and_edits_equal_leaf_counts():
         assert (len(a) - apart["-"], len(b) - apart["+"]) == (len(b) - apart["+"],) * 2 or not (a or b)
 
 
+def test_merkle_steps_are_a_table_of_few_files(spark):
+    """What ranges hand on is read again as a table: many small ranges need no task each, and no checksum files."""
+    documents = spark.createDataFrame([(i, f"Words of {i}. More of them.") for i in range(40)], "doc_id long, text string")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 20)
+    try:
+        found = merkle.compare_with_next(documents, keep_trees=False)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert len({r.doc_id for r in found.collect()}) == 40
+    assert any("merkle-steps" in x for x in found.inputFiles())
+
+
 def test_merkle_trees():
     text = "One. Two two!\nThree three three? Four\n\nFive."
     assert merkle.Tree(text).root == merkle.Tree(text).root != merkle.Tree(text + " ").root
