@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import claim, held, scratch_path, small_batches
+from .common import claim, held, scratch_path, small_batches, tabled
 
 #: Fixed values of the format: ids per word and bits per id, by selector; 15 is the escape.
 COUNTS = (60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1)
@@ -373,7 +373,7 @@ def write_ids(documents: DataFrame, path: str, tokenizer_path: str, block_ids: i
 
     dealt = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id")
     with small_batches(documents.sparkSession, AT_ONCE):
-        dealt.sortWithinPartitions("doc_id", F.xxhash64("text")).mapInArrow(run, BLOCKS).write.parquet(path)
+        tabled(dealt.sortWithinPartitions("doc_id", F.xxhash64("text")).mapInArrow(run, BLOCKS), path)
 
 
 DIGESTS = T.StructType([T.StructField(n, T.LongType()) for n in ("part", "block", "place", "doc_id", "before", "n_tokens", "ids_crc32")])

@@ -157,3 +157,10 @@ def test_token_counts(odd, empty):
 def test_prefix_counts_refuse_tokenizers_that_keep_white_space():
     with pytest.raises(ValueError):
         prefixcount.PrefixCounter(BYTE)
+
+
+def test_blocks_start_no_process_for_checksum_files(spark, tmp_path):
+    documents = spark.createDataFrame([(i, "some words") for i in range(20)], "doc_id long, text string")
+    got = tokenbin.token_digests(documents, BYTE, str(tmp_path / "ids")).collect()
+    assert sorted(r.doc_id for r in got) == list(range(20))
+    assert [x.name for x in (tmp_path / "ids").iterdir() if x.name.endswith(".parquet.crc")] == []
