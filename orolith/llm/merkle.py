@@ -19,7 +19,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import claim, scratch_path, tabled
+from .common import claim, scratch_path, small_batches, tabled
 
 SENTENCE = re.compile(r"[^.!?]*[.!?]+\s*|[^.!?]+")
 LONG = 400
@@ -176,6 +176,8 @@ RESULT = T.StructType([T.StructField(n, t) for n, t in FIELDS])
 STEP = T.StructType([T.StructField("kind", T.StringType()), T.StructField("part", T.LongType()), *RESULT.fields, T.StructField("text", T.StringType())])
 #: Documents that a worker holds at a time, besides the one before them.
 AT_ONCE = 64
+#: So many ranges' steps make a file (they are about a tenth of the texts), and a task compares so many pairs across ranges.
+RANGES_A_FILE, PAIRS_A_TASK = 8, 64
 
 
 def _compare(doc_id: int | None, text: str, tree: Tree, following: str, next_tree: Tree, keep_trees: bool) -> tuple:
@@ -238,15 +240,20 @@ def compare_with_next(documents: DataFrame, keep_trees: bool = True) -> DataFram
     def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(whole.num_rows):
-                doc_id, text, following = (whole.column(i)[at].as_py() for i in range(3))
-                yield _batch([_compare(doc_id, text, Tree(text), following, Tree(following), keep_trees)], RESULT)
+                part, doc_id, text, following = (whole.column(i)[at].as_py() for i in range(4))
+                yield _batch([("row", part, *_compare(doc_id, text, Tree(text), following, Tree(following), keep_trees), None)], STEP)
 
     order = (F.col("doc_id").desc_nulls_last(), F.col("merkle_tie").asc())
     dealt = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("merkle_tie"))
     ranges = dealt.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
-    steps = tabled(ranges.mapInArrow(within, STEP), scratch_path(documents.sparkSession, "merkle-steps"))
-    heads = steps.where("kind = 'head'").select("part", F.col("text").alias("following"))
-    parts = heads.select("part").select("part", F.coalesce(F.lead("part").over(W.orderBy("part")), F.min("part").over(W.partitionBy())).alias("next_part"))  # a row for each range
-    opened = steps.where("kind = 'open'").select("part", "doc_id", "text").join(parts, "part")
-    met = opened.join(heads.withColumnRenamed("part", "next_part"), "next_part").select("doc_id", "text", "following")
-    return steps.where("kind = 'row'").select(*RESULT.names).unionByName(met.mapInArrow(across, RESULT))
+    spark, path = documents.sparkSession, scratch_path(documents.sparkSession, "merkle-steps")
+    ranges_most = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    with small_batches(spark, AT_ONCE):
+        # few files and tasks, as each file that is written starts processes
+        steps = tabled(ranges.mapInArrow(within, STEP).repartition(-(-ranges_most // RANGES_A_FILE)), f"{path}/within")
+        heads = steps.where("kind = 'head'").select("part", F.col("text").alias("following"))
+        parts = heads.select("part").select("part", F.coalesce(F.lead("part").over(W.orderBy("part")), F.min("part").over(W.partitionBy())).alias("next_part"))  # a row for each range
+        opened = steps.where("kind = 'open'").select("part", "doc_id", "text").join(parts, "part")
+        met = opened.join(heads.withColumnRenamed("part", "next_part"), "next_part").select("part", "doc_id", "text", "following")
+        tabled(met.coalesce(-(-ranges_most // PAIRS_A_TASK)).mapInArrow(across, STEP), f"{path}/across")
+    return spark.read.schema(STEP).parquet(f"{path}/within", f"{path}/across").where("kind = 'row'").select(*RESULT.names)

@@ -341,6 +341,31 @@ def test_merkle_steps_are_a_table_of_few_files(spark):
     assert any("merkle-steps" in x for x in found.inputFiles())
 
 
+def test_merkle_many_ranges_make_few_files_and_small_batches(spark, monkeypatch):
+    """Ranges of a row or none, not coalesced: as few files as ranges need, workers get few texts at a time, same rows."""
+    documents = spark.createDataFrame([(i, f"Words of {i}. More of them, {i % 3}.") for i in range(40)], "doc_id long, text string")
+    want = sorted(merkle.compare_with_next(documents).collect())
+    held, tabled = [], merkle.tabled
+
+    def seen(df, path):
+        held.append(int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")))
+        return tabled(df, path)
+
+    monkeypatch.setattr(merkle, "tabled", seen)
+    changed = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in changed}
+    for k, v in changed.items():
+        spark.conf.set(k, v)
+    try:
+        found = merkle.compare_with_next(documents)
+        assert sorted(found.collect()) == want
+        assert found.rdd.getNumPartitions() <= 6 and len(found.inputFiles()) <= 6
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert max(held) <= merkle.AT_ONCE
+
+
 def test_merkle_trees():
     text = "One. Two two!\nThree three three? Four\n\nFive."
     assert merkle.Tree(text).root == merkle.Tree(text).root != merkle.Tree(text + " ").root
