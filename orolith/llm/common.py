@@ -76,15 +76,18 @@ def tabled(df: DataFrame, path: str) -> DataFrame:
 
 
 @contextlib.contextmanager
-def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
-    """What runs within hands workers so many rows at a time, or fewer if the session says so."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, rows if int(before) <= 0 else min(rows, int(before)))
+def small_batches(spark: SparkSession, rows: int, read: int | None = None) -> Iterator[None]:
+    """What runs within hands workers so many rows at a time, and decodes so many of a Parquet file (None: as the session says),
+    or fewer if the session says so."""
+    sizes = {"spark.sql.execution.arrow.maxRecordsPerBatch": rows} | ({"spark.sql.parquet.columnarReaderBatchSize": read} if read else {})
+    before = {k: spark.conf.get(k) for k in sizes}
     try:
+        for k, n in sizes.items():
+            spark.conf.set(k, n if int(before[k]) <= 0 else min(n, int(before[k])))
         yield
     finally:
-        spark.conf.set(key, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 def ascii_lower(text: Column) -> Column:

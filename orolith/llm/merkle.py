@@ -176,6 +176,8 @@ RESULT = T.StructType([T.StructField(n, t) for n, t in FIELDS])
 STEP = T.StructType([T.StructField("kind", T.StringType()), T.StructField("part", T.LongType()), *RESULT.fields, T.StructField("text", T.StringType())])
 #: Documents that a worker holds at a time, besides the one before them.
 AT_ONCE = 64
+#: Rows of documents that are decoded at a time: vectors of thousands of texts are arrays of many MB each, which make the JVM's heap grow.
+READ_AT_ONCE = 512
 #: So many ranges' steps make a file (they are about a tenth of the texts), and a task compares so many pairs across ranges.
 RANGES_A_FILE, PAIRS_A_TASK = 8, 64
 
@@ -248,7 +250,7 @@ def compare_with_next(documents: DataFrame, keep_trees: bool = True) -> DataFram
     ranges = dealt.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
     spark, path = documents.sparkSession, scratch_path(documents.sparkSession, "merkle-steps")
     ranges_most = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    with small_batches(spark, AT_ONCE):
+    with small_batches(spark, AT_ONCE, READ_AT_ONCE):
         # few files and tasks, as each file that is written starts processes
         steps = tabled(ranges.mapInArrow(within, STEP).repartition(-(-ranges_most // RANGES_A_FILE)), f"{path}/within")
         heads = steps.where("kind = 'head'").select("part", F.col("text").alias("following"))

@@ -366,6 +366,27 @@ def test_merkle_many_ranges_make_few_files_and_small_batches(spark, monkeypatch)
     assert max(held) <= merkle.AT_ONCE
 
 
+def test_merkle_decodes_few_texts_at_a_time(spark, monkeypatch):
+    """Vectors of thousands of texts make the JVM's heap grow; smaller sizes of the session are kept, and all come back."""
+    key, held, tabled = "spark.sql.parquet.columnarReaderBatchSize", [], merkle.tabled
+    documents = spark.createDataFrame([(1, "One."), (2, "Two.")], "doc_id long, text string")
+
+    def seen(df, path):
+        held.append(int(spark.conf.get(key)))
+        return tabled(df, path)
+
+    monkeypatch.setattr(merkle, "tabled", seen)
+    before = spark.conf.get(key)
+    assert merkle.compare_with_next(documents).count() == 2
+    assert set(held) == {512} and spark.conf.get(key) == before
+    spark.conf.set(key, 100)
+    try:
+        merkle.compare_with_next(documents)
+        assert held[-1] == 100 == int(spark.conf.get(key))
+    finally:
+        spark.conf.set(key, before)
+
+
 def test_merkle_trees():
     text = "One. Two two!\nThree three three? Four\n\nFive."
     assert merkle.Tree(text).root == merkle.Tree(text).root != merkle.Tree(text + " ").root
