@@ -7,16 +7,17 @@ the popcount of that language's bit over its n-grams; what the filter's own fals
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, held, stable
+from .common import fresh, held, scratch_path, tabled
 
 #: The fit's sample: about so many training documents of each language.
 PER_LANGUAGE = 600
@@ -26,6 +27,8 @@ HASHES = 3
 BITS = 64
 UNDETERMINED = "und"
 SIZES = (2, 3, 4)
+#: Texts are taken together up to so many and so many bytes, a longer one by itself: their n-grams take about 130 bytes for each byte of text.
+TEXTS, TEXT_BYTES = 128, 1 << 17
 #: An n-gram belongs to a language if its share there is at least so much of its greatest share in any.
 BELONGS = 0.4
 
@@ -42,15 +45,15 @@ def _letters() -> np.ndarray:
 
 def grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes (uint64) of the n-grams of all texts, within words and over their edges, and the text of each."""
-    joined = "\n".join(x or "" for x in texts) + "\n"
+    joined = "".join(f"\n{x or ''}\n" for x in texts)
     points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "<u4")
     letters = held("letters", _letters)[np.minimum(points, 0x10FFFF)]
-    lengths = np.array([len(x or "") + 1 for x in texts])
+    lengths = np.array([len(x or "") + 2 for x in texts], np.int64)
     owner = np.repeat(np.arange(len(texts)), lengths)
-    keep = np.concatenate(([False], (letters[1:] != 0) | (letters[:-1] != 0)))  # one edge after each word
-    keep[0] = letters[0] != 0 if len(letters) else False
+    keep = letters != 0
+    keep[1:] |= letters[:-1] != 0  # one edge after each word
+    keep[np.cumsum(lengths) - lengths] = True  # and one before each text, so that a text's n-grams are the same in any company
     word, owner = letters[keep].astype(np.uint64), owner[keep]
-    word, owner = np.concatenate(([0], word)).astype(np.uint64), np.concatenate((owner[:1], owner))
     out, of = [], []
     for size in SIZES:
         n = len(word) - size + 1
@@ -73,6 +76,28 @@ def grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(out)[order], np.concatenate(of)[order]) if out else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
 
+def pieces(batches: Iterable[pa.RecordBatch], at: int) -> Iterator[pa.RecordBatch]:
+    """The rows of the batches, whose column at has the texts, in slices of up to TEXTS rows and TEXT_BYTES bytes of text, or one row."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        start = 0
+        while start < batch.num_rows:
+            most = TEXT_BYTES + (int(ends[start - 1]) if start else 0)
+            stop = max(start + 1, min(start + TEXTS, int(np.searchsorted(ends, most, "right"))))
+            yield batch.slice(start, stop - start)
+            start = stop
+
+
+def count_grams(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From texts and their languages' numbers: (lang, gram, n), where a pair may come several times."""
+    for batch in pieces(batches, 0):
+        h, owner = grams(batch.column(0).to_pylist())
+        lang = np.asarray(batch.column(1))[owner]
+        for number in np.unique(lang):
+            keys, n = np.unique(h[lang == number], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), number), pa.int64()), pa.array(keys.view(np.int64)), pa.array(n, pa.int64())], names=["lang", "gram", "n"])
+
+
 def _slots(h: np.ndarray) -> list[np.ndarray]:
     a, b = h & np.uint64(0xFFFFFFFF), (h >> np.uint64(32)) | np.uint64(1)
     return [((a + np.uint64(k) * b) % np.uint64(SLOTS)).astype(np.int64) for k in range(HASHES)]
@@ -138,13 +163,6 @@ def train(documents: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / F.lit(float(1 << 40))
     sample = rows.withColumn("draw", draw).join(F.broadcast(numbers), "lang").where("draw < share").select("text", "number")
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            h, owner = grams(batch.column(0).to_pylist())
-            lang = np.asarray(batch.column(1))[owner]
-            keys, n = np.unique(np.stack([lang, h.view(np.int64)], 1), axis=0, return_counts=True) if len(h) else (np.zeros((0, 2), np.int64), np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(keys[:, 0], pa.int64()), pa.array(keys[:, 1], pa.int64()), pa.array(n, pa.int64())], names=["lang", "gram", "n"])
-
     def set_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lang, h = np.asarray(batch.column(0)), np.asarray(batch.column(1)).view(np.uint64)
@@ -152,7 +170,7 @@ def train(documents: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
             for s in _slots(h):
                 yield pa.RecordBatch.from_arrays([pa.array(lang // BITS, pa.int64()), pa.array(s, pa.int64()), pa.array(mask, pa.int64())], names=["word", "slot", "mask"])
 
-    counted = stable(sample.mapInArrow(count, "lang long, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).where("n > 1"))
+    counted = tabled(sample.mapInArrow(count_grams, "lang long, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).where("n > 1"), scratch_path(spark, "grams"))
     totals = counted.groupBy("lang").agg(F.sum("n").alias("total"))
     shares = counted.join(F.broadcast(totals), "lang").select("lang", "gram", (F.col("n") / F.col("total")).alias("share"))  # a row of totals for each language
     most = shares.groupBy("gram").agg(F.max("share").alias("most"))
@@ -174,11 +192,9 @@ def identify(documents: DataFrame, model: Model, names: tuple[str, str, str] = (
     shared = documents.sparkSession.sparkContext.broadcast(model)  # SLOTS words of 8 bytes for every BITS languages, whatever the input
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for start in range(0, whole.num_rows, 128):
-                batch = whole.slice(start, 128)
-                found, score, coverage = shared.value.predict(batch.column(at).to_pylist())
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string()), pa.array(score), pa.array(coverage)], names=[*batch.schema.names, *names])
+        for batch in pieces(batches, at):
+            found, score, coverage = shared.value.predict(batch.column(at).to_pylist())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string()), pa.array(score), pa.array(coverage)], names=[*batch.schema.names, *names])
 
     added = [T.StructField(n, t) for n, t in zip(names, (T.StringType(), T.DoubleType(), T.DoubleType()), strict=True)]
     return documents.mapInArrow(run, T.StructType([*documents.schema.fields, *added]))

@@ -2,10 +2,12 @@ import hashlib
 import itertools
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from orolith.llm import decontam, langid, licenses, merkle, mixing, sharding
 from pyspark.sql import functions as F
@@ -170,6 +172,30 @@ def test_bloom_bits_have_every_trained_gram(spark):
     assert names == ["x"] and score[0] == 1 and coverage[0] > 0.9
 
 
+def test_grams_of_a_large_batch_are_counted_in_little_memory():
+    rng = random.Random(9)
+    stock = ["".join(rng.choices("abcdefghij", k=rng.randint(2, 9))) for _ in range(400)]
+    texts = [" ".join(rng.choices(stock, k=600)) for _ in range(300)] + [None, "", "1 2", " ".join(rng.choices(stock, k=30_000)), "zz zz"] + ["ab"] * 300
+    langs = [i % 3 for i in range(len(texts))]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), pa.array(langs, pa.int64())], names=["text", "number"])
+    langid.held("letters", langid._letters)
+    tracemalloc.start()
+    got = Counter()
+    for out in langid.count_grams([batch]):
+        for lang, gram, n in zip(*(out.column(k).to_pylist() for k in range(3)), strict=True):
+            got[lang, gram] += n
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    want = Counter()
+    for text, lang in zip(texts, langs, strict=True):
+        want.update((lang, g) for g in langid.grams([text])[0].view(np.int64).tolist())
+    assert got == want
+    assert peak < 60e6, peak  # 1.2 million characters, all at once: over 150 MB
+    sizes = [(x.num_rows, sum(len(t or "") for t in x.column(0).to_pylist())) for x in langid.pieces([batch], 0)]
+    assert [t for x in langid.pieces([batch], 0) for t in x.column(0).to_pylist()] == texts
+    assert all(n <= langid.TEXTS and (n == 1 or size <= langid.TEXT_BYTES) for n, size in sizes)
+
+
 # mixing
 
 
